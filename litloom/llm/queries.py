@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import pieces, stars, truth
+from litloom.llm import leaks, mixture, pieces, stars, truth
 from litloom.session import Scratch, table
 
 
@@ -41,5 +41,22 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks_toy"), table(spark, d, "chunk_limits"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.filter("exact_windows > 0").select("doc_id", "item_id").distinct()
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), Scratch(spark))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), Scratch(spark))[1]
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}

@@ -63,5 +63,20 @@ WHERE len(regexp_extract_all(c.embed_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) > k
 """
 
 
+P6_FOUND = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+wanted AS (
+  SELECT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS passage
+  FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM sized)),
+there AS (
+  SELECT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS passage
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p
+        FROM d, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM there JOIN wanted USING (n, passage)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name.lower(): text for name, text in globals().items() if name[:1] == "P" and name[1:2].isdigit()}
