@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import leaks, mixture, pieces, stars, truth
+from litloom.llm import leaks, mixture, pieces, stars, tokengroups, truth
 from litloom.session import Scratch, table
 
 
@@ -23,6 +23,19 @@ def p1_source_reliability(spark: SparkSession, d: str) -> DataFrame:
     return trust.select("provider", F.round("reliability", 6).alias("reliability"), "claims")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return tokengroups.near_records(table(spark, d, "dedup_candidates"), Scratch(spark))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each record that has a near-duplicate, with its class and its number of links."""
+    scratch = Scratch(spark)
+    pairs = scratch.keep(tokengroups.near_records(table(spark, d, "dedup_candidates"), scratch))
+    classes = stars.components(pairs, scratch, "record_a", "record_b")
+    ends = pairs.select(F.explode(F.array("record_a", "record_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return classes.join(ends, "node").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"), "links")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return stars.match_groups(table(spark, d, "dedup_candidates"), Scratch(spark))
 
