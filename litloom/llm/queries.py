@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import leaks, mixture, pieces, stars, tokengroups, truth
+from litloom.llm import leaks, mixture, names, pieces, stars, tokengroups, truth
 from litloom.session import Scratch, table
 
 
@@ -45,6 +45,14 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("records"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(p4_profiles(spark, d))
+
+
+def p4_profiles(spark: SparkSession, d: str) -> DataFrame:
+    return names.author_profiles(names.spellings(table(spark, d, "dup_pairs_to_label")), Scratch(spark))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     cut = pieces.split_oversized(table(spark, d, "chunks_toy"), table(spark, d, "chunk_limits"), with_text=False)
     return cut.filter(F.col("pieces") > 1).select("chunk_id").distinct()
