@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -68,6 +69,12 @@ class Scratch:
         self._paths[id(kept)] = path
         return kept
 
+    def keep_counted(self, frame: DataFrame) -> tuple[DataFrame, int]:
+        """``keep``, and the number of rows written, counted while writing."""
+        seen = Observation()
+        kept = self.keep(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+        return kept, seen.get["n"]
+
     def drop(self, kept: DataFrame) -> None:
         path = self._paths.pop(id(kept), None)
         if path:
