@@ -52,9 +52,13 @@ def small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or is both parent and child: else all edges lead to the
+    least node of their component, and both rewrites would leave them as they are."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    return not ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent")).filter("child + parent > 1").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -64,23 +68,19 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", r
     raises an error.
     """
     left, right = F.col(a), F.col(b)
-    now = scratch.keep(
+    now, count = scratch.keep_counted(
         edges.filter(left.isNotNull() & right.isNotNull() & (left != right))
         .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .distinct()
     )
-    mark = _mark(now)
     for _ in range(rounds):
-        wide = scratch.keep(large_star(now, mark[0]))
-        after_wide = _mark(wide)
-        new = scratch.keep(small_star(wide, after_wide[0]))
-        after = _mark(new)
+        if not _unsettled(now):
+            break
+        wide, count = scratch.keep_counted(large_star(now, count))
+        new, count = scratch.keep_counted(small_star(wide, count))
         scratch.drop(wide)
         scratch.drop(now)
         now = new
-        if mark == after_wide == after:
-            break
-        mark = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
