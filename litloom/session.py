@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,22 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once an application: their Python workers import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        folder = tempfile.mkdtemp(prefix="litloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        here = Path(__file__).resolve().parent
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/litloom", "zip", here.parent, here.name))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
