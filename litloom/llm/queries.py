@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import leaks, mixture, names, pieces, stars, tokengroups, truth
+from litloom.llm import garbled, leaks, mixture, names, pieces, stars, tokengroups, truth
 from litloom.session import Scratch, table
 
 
@@ -79,5 +79,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), Scratch(spark))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    records, _, _ = garbled.judge(table(spark, d, "documents"), Scratch(spark))
+    return records.select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "documents"), Scratch(spark))
+
+
+def p8_chain_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each encoding chain among the units of each source."""
+    _, shares, _ = garbled.judge(table(spark, d, "documents"), Scratch(spark))
+    return shares.select("source", F.explode("shares").alias("chain", "share")).withColumn("share", F.round("share", 6))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
