@@ -69,21 +69,26 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def partial_ratio(a: str, b: str) -> float:
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
     """Best ratio of the shorter text with a window of its length in the longer one, windows cut
-    by either end included."""
+    by either end included.  0 where it is below ``least``.
+
+    A window of m <= n characters with a ratio of ``least`` has 2 L >= least (n + m) / 100 and m >= L,
+    which bounds the L that the whole longer text must reach; most pairs end there."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
+    if least and lcs(short, long) < least / (200 - least) * n:
+        return 0.0
     best = 0.0
     for end in range(1, len(long) + n):
         piece = long[max(0, end - n):end]
         if 200.0 * len(piece) / (n + len(piece)) > best:
             best = max(best, ratio(short, piece))
-    return best
+    return best if best >= least else 0.0
 
 
 def title_ratio_of(a: str, b: str, guard: float = 0.6) -> float:
@@ -120,8 +125,8 @@ def fuzz_ratio(a: Column, b: Column) -> Column:
     return _column(ratio)(a, b)
 
 
-def fuzz_partial_ratio(a: Column, b: Column) -> Column:
-    return _column(partial_ratio)(a, b)
+def fuzz_partial_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    return _column(lambda x, y: partial_ratio(x, y, least))(a, b)
 
 
 def fuzz_token_sort_ratio(a: Column, b: Column) -> Column:

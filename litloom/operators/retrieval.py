@@ -6,6 +6,7 @@ before they are ranked, so that the order of additions decides nothing.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,9 +177,19 @@ def fold_near(ranked: DataFrame, tau: float = TAU, cap: int = PER_WORK) -> DataF
 
 
 def hashed_vector(text: Column, dims: int = 256) -> Column:
-    """Bag of words hashed by crc32, of length 1: the encoder for tests and for text without one."""
-    words = T.terms(text)
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """Bag of words hashed by crc32, of length 1 (zeros for a text without words, NULL for NULL): the
+    encoder for tests and for text without another."""
+
+    @F.pandas_udf("array<double>")
+    def encode(words: pd.Series) -> pd.Series:
+        out = []
+        for w in words:
+            if w is None:
+                out.append(None)
+                continue
+            counts = np.bincount([zlib.crc32(x.encode()) % dims for x in w], minlength=dims).astype(float) if len(w) else np.zeros(dims)
+            norm = np.linalg.norm(counts)
+            out.append((counts / norm if norm else counts).tolist())
+        return pd.Series(out)
+
+    return encode(T.terms(text))

@@ -188,10 +188,10 @@ def retrieval_gold_hits(spark, d):
     items = table(spark, d, "eval_items")
     quotes = items.filter("item_type = 'gold_quote'").select("question_id", F.lower(F.col("text")).alias("quote"))
     asked = items.filter("item_type = 'question'").select("question_id", F.col("item_id").alias("query_id"))
-    ranked = bm(spark, d, 5).join(documents(spark, d), "doc_id").join(asked, "query_id").join(quotes, "question_id")
+    ranked = bm(spark, d, 20).join(documents(spark, d), "doc_id").join(asked, "query_id").join(quotes, "question_id")
     # only the best-matching line is scored against the quote
     lines = ranked.select("query_id", "doc_id", "rank", "quote", F.explode(F.split(F.lower(F.col("text")), "\n")).alias("line")).filter("length(line) > 0")
-    scored = lines.withColumn("ratio", fuzzy.fuzz_partial_ratio(F.col("quote"), F.substring("line", 1, 600)))
+    scored = lines.withColumn("ratio", fuzzy.fuzz_partial_ratio(F.col("quote"), F.col("line"), 85))
     return scored.groupBy("query_id", "doc_id", "rank").agg(F.round(F.max("ratio"), 4).alias("ratio")).filter("ratio >= 85")
 
 

@@ -19,7 +19,7 @@ MANIFEST = (
     "duplicate_of canonical in_index not_indexed_reason n_chunks"
 ).split()
 MANIFEST_SCHEMA = StructType([StructField(c, StringType()) for c in MANIFEST])
-_CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+_CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType = MANIFEST_SCHEMA) -> DataFrame:

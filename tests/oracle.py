@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 DATA = Path("/root/testdata")
@@ -16,12 +17,12 @@ def rows_of(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return None
         if isinstance(x, float):
             return round(x, 5)
         if hasattr(x, "isoformat"):
-            return x.isoformat()[:26]
+            return x.isoformat()[:26].removesuffix("T00:00:00")
         return x.item() if hasattr(x, "item") else x
 
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=repr)
