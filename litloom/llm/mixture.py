@@ -140,7 +140,7 @@ def mixture(documents: DataFrame, targets: DataFrame, scratch: Scratch, total_to
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("f")) / F.col("f")
     ranked = scratch.keep(
         drawn.withColumn("rank", F.when(F.col("f") > 1e-9, odds / (1 + odds)))
-        .withColumn("rank_class", F.least(F.lit(CLASSES - 1), F.floor(F.col("rank") * CLASSES)).cast("int"))
+        .withColumn("rank_class", F.when(F.col("rank").isNotNull(), F.least(F.lit(CLASSES - 1), F.floor(F.col("rank") * CLASSES))).cast("int"))
         .drop("f", "u")
     )
     certain = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("certain"))
