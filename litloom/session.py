@@ -63,6 +63,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN_FOLDER[0]}"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Over all cores, for small tables whose rows take long: the advisory size of a partition would
+    put them into one task."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 class Scratch:
     """Written tables that cut the lineage of iterative plans.
 
