@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from litloom.llm.encodings import LOST, QUOTED, REFERENCE, RUN, restorations, structure
 from litloom.llm.mixture import source_key
-from litloom.session import Scratch
+from litloom.session import Scratch, spread
 
 PAIRS, SINGLES = 1 << 18, 1 << 16
 NONE, UNRESTORABLE = "none", "lost"
@@ -242,7 +242,7 @@ def judge(documents: DataFrame, scratch: Scratch, rounds: int = 3) -> tuple[Data
     the model of sound text)"""
     scanned = scratch.keep(scan(documents))
     by_record = scanned.filter("what = 0")
-    units = scratch.keep(by_record.groupBy("source", "unit").agg(F.sum("n").alias("n")))
+    units = scratch.keep(spread(by_record.groupBy("source", "unit").agg(F.sum("n").alias("n")), "unit"))
     sound_places = _table(scanned.filter("what = 1").select("place", "n"))
     sound = scratch.keep(scanned.filter("what = 2").groupBy("source").agg(F.sum("n").alias("n")).select("source", F.lit(NONE).alias("chain"), "n"))
     counts, shares = None, scratch.keep(_shares(sound))
