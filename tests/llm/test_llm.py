@@ -87,6 +87,23 @@ def test_near_titles_beyond_hot_keys(spark):
     assert got == want and want
 
 
+def test_near_titles_without_shared_keys(spark):
+    """Many misspellings of one title: its words are common, and two of them share no four words in a row."""
+    rng = random.Random(11)
+    words = "graded annotation of scientific claims with partially observed evidence from retrieved abstracts and tables using calibrated models".split()[:15]
+    titles = {" ".join(words)}
+    while len(titles) < 300:
+        spelt = list(words)
+        for at in (3, 7, 11) if len(titles) % 2 else (rng.randrange(15),):
+            w = list(spelt[at])
+            w[rng.randrange(len(w))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            spelt[at] = "".join(w)
+        titles.add(" ".join(spelt))
+    want = {(a, b) for a, b in itertools.combinations(sorted(titles), 2) if title_ratio_of(a, b) >= 89}
+    got = [(r.title_a, r.title_b) for r in tokengroups.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), Scratch(spark)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_near_records_edges(spark):
     schema = "record_a string, title_a string, record_b string, title_b string, abstract_cosine double, body_ratio double, id bigint"
     t = "Byte pair encoding for everyone"
