@@ -17,13 +17,22 @@ grams AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS head FROM
 gold AS (SELECT DISTINCT query_id, doc_id, work FROM quotes JOIN grams USING (head) JOIN work_of USING (doc_id))"""
 
 
-def gold(spark, d):
-    """Documents that hold the first eight words of a gold quote of the question."""
+def gold(spark, d, whole=False):
+    """Documents that hold the first eight words of a gold quote of the question.  whole: eight words
+    in a row from anywhere in the quote, or a shorter quote as it is."""
     items = table(spark, d, "eval_items")
     asked = items.filter("item_type = 'question'").select("question_id", F.col("item_id").alias("query_id"))
-    heads = items.filter("item_type = 'gold_quote'").join(asked, "question_id").select("query_id", F.array_join(F.slice(T.terms(F.col("text")), 1, 8), " ").alias("head"))
-    words = documents(spark, d).select("doc_id", T.terms(F.col("text")).alias("w")).filter(F.size("w") >= 8)
-    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda p: F.array_join(F.slice("w", p, 8), " "))).alias("head"))
+    quotes = items.filter("item_type = 'gold_quote'").join(asked, "question_id").select("query_id", T.terms(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    runs = lambda n: F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.array_join(F.slice("w", p, n), " "))).alias("head")
+    if whole:
+        n = F.least(F.lit(8), F.size("w"))
+        sizes = [r.n for r in quotes.select(n.alias("n")).distinct().collect()]  # eight at most
+        heads = quotes.select("query_id", runs(n)).distinct()
+    else:
+        sizes = [8]
+        heads = quotes.select("query_id", F.array_join(F.slice("w", 1, 8), " ").alias("head"))
+    words = documents(spark, d).select("doc_id", T.terms(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
+    grams = words.filter(F.size("w") >= F.col("n")).select("doc_id", runs(F.col("n")))
     return grams.join(heads, "head").select("query_id", "doc_id").distinct().join(_work(spark, d).drop("lang"), "doc_id")
 
 
@@ -43,10 +52,17 @@ def retrieval_metrics(spark, d):
     return statistics.retrieval_metrics(ranked, gold(spark, d), questions(spark, d))
 
 
-def _two(spark, d):
+@query()
+def retrieval_metrics_whole(spark, d):
+    """With gold from whole quotes."""
+    ranked = bm(spark, d).join(_work(spark, d).drop("lang"), "doc_id")
+    return statistics.retrieval_metrics(ranked, gold(spark, d, whole=True), questions(spark, d))
+
+
+def _two(spark, d, whole=False):
     scratch = Scratch(spark)
     docs, asked, works = documents(spark, d), questions(spark, d), _work(spark, d).drop("lang")
-    held = scratch.keep(gold(spark, d))
+    held = scratch.keep(gold(spark, d, whole))
     parts = []
     for name, ranked in (("bm25", retrieval.bm25(docs, asked, 20)), ("bm25-flat", retrieval.bm25(docs, asked, 20, k1=0.9, b=0.0))):
         parts.append(statistics.retrieval_metrics(ranked.join(works, "doc_id"), held, asked).withColumn("retriever", F.lit(name)))
@@ -67,9 +83,15 @@ def retriever_summary(spark, d):
     return statistics.summary(_two(spark, d))
 
 
+@query()
+def retriever_summary_whole(spark, d):
+    """With gold from whole quotes."""
+    return statistics.summary(_two(spark, d, whole=True))
+
+
 @query()
 def bootstrap_ci(spark, d):
-    out = statistics.bootstrap(_two(spark, d), "retriever", "query_id", "recall5")
+    out = statistics.bootstrap(_two(spark, d, whole=True), "retriever", "query_id", "recall5")
     return out.select("retriever", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
