@@ -165,6 +165,13 @@ def pair_title_ratio(spark, d):
     return pairs.select("pair_no", fuzzy.fuzz_title_ratio(F.col("title_a"), F.col("title_b")).alias("title_ratio"))
 
 
+@query()
+def pair_title_ratio_all(spark, d):
+    """Every pair with both titles, those without a stored ratio too, for which SQL has nothing to compare."""
+    pairs = table(spark, d, "dedup_candidates").filter("title_a IS NOT NULL AND title_b IS NOT NULL")
+    return pairs.select("pair_no", fuzzy.fuzz_title_ratio(F.col("title_a"), F.col("title_b")).alias("title_ratio"))
+
+
 @query(f"""WITH {_CLEAN} SELECT record_id, min(record_id) OVER (PARTITION BY openalex_id) AS representative FROM clean
 WHERE openalex_id IS NOT NULL QUALIFY min(record_id) OVER (PARTITION BY openalex_id) <> record_id""")
 def silver_pairs(spark, d):

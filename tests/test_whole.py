@@ -2,6 +2,7 @@
 
 
 import __spark_entry__ as entry
+from litloom.functions.fuzzy import title_ratio
 from litloom.plans import statistics_queries
 
 
@@ -17,3 +18,10 @@ def test_gold_of_whole_quotes(spark, tmp_path):
     items = [(1, 1, "question", "word1 word7"), (2, 1, "gold_quote", " ".join(quote)), (3, 2, "question", "short"), (4, 2, "gold_quote", "Three short words."), (5, 2, "gold_quote", "?")]
     d = write(spark, tmp_path, documents=(docs, "doc_id long, text string, source string, lang string"), eval_items=(items, "item_id long, question_id long, item_type string, text string"))
     assert {(r.query_id, r.doc_id) for r in statistics_queries.gold(spark, d, whole=True).collect()} == {(1, 1), (1, 2), (3, 3)}
+
+
+def test_pair_title_ratio_all(spark, tmp_path):
+    rows = [(1, "Deep parsing", "Deep parsing!", 100.0), (2, "Deep parsing", "Deep parsers", None), (3, None, "x", None)]
+    d = write(spark, tmp_path, dedup_candidates=(rows, "pair_no long, title_a string, title_b string, title_ratio double"))
+    got = {r.pair_no: r.title_ratio for r in entry.queries()["pair_title_ratio_all"](spark, d).collect()}
+    assert got == {n: title_ratio(a, b) for n, a, b, _ in rows if a and b}
