@@ -183,7 +183,7 @@ def jsonl_round_trip(spark, d):
 def _pages(spark, d):
     """Pages made of the documents' lines."""
     lines = F.split("text", "\n")
-    paragraphs = F.array_join(F.transform(F.slice(lines, 2, 10_000), lambda x: F.concat(F.lit("<p>"), x)), "")
+    paragraphs = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("<p>"), x)), "")
     html = F.concat(F.lit("<html><head><script>'</p>'</script></head><body><nav>menu</nav><div class='ad'>ad</div><article><h1>"), lines[0], F.lit("</h1><h2>Body</h2>"), paragraphs, F.lit("</article></body></html>"))
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text", html.alias("html"))
 

@@ -25,3 +25,10 @@ def test_pair_title_ratio_all(spark, tmp_path):
     d = write(spark, tmp_path, dedup_candidates=(rows, "pair_no long, title_a string, title_b string, title_ratio double"))
     got = {r.pair_no: r.title_ratio for r in entry.queries()["pair_title_ratio_all"](spark, d).collect()}
     assert got == {n: title_ratio(a, b) for n, a, b, _ in rows if a and b}
+
+
+def test_pages_of_long_documents(spark, tmp_path):
+    text = "Title\n" + "\n".join(f"word{i}" for i in range(12_000))
+    d = write(spark, tmp_path, documents=([(1, text), (2, "Title")], "doc_id long, text string"))
+    got = {r.doc_id: r.words for r in entry.queries()["pages_parse"](spark, d).collect()}
+    assert got[1] >= 12_000 and 2 in got
