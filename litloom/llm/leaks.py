@@ -193,7 +193,9 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list
 
 def leaks(documents: DataFrame, items: DataFrame, block_words: int = 500_000) -> DataFrame:
     """doc_id, item_id, exact_windows, near_windows, similarity: every document with a window that
-    equals a window of an item, or whose shingles are as similar as SIMILARITY."""
+    equals a window of an item, or whose fingerprint is within RADIUS of one and whose shingles are as
+    similar as SIMILARITY.  Near windows beyond that distance, most of those with one word changed,
+    are not found."""
     schema = "doc_id bigint, item_id bigint, exact_windows int, near_windows int, similarity double"
     names = [c.split()[0] for c in schema.split(", ")]
     found = None
