@@ -62,6 +62,15 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "chunks_toy"), table(spark, d, "chunk_limits"))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each oversized chunk hold all its tokens once, without a gap, within its limit."""
+    limits = table(spark, d, "chunk_limits").select(F.lower(F.trim("kind")).alias("kind"), "max_tokens").groupBy("kind").agg(F.min("max_tokens").alias("most"))
+    held = pieces.invariants(pieces.split_oversized(table(spark, d, "chunks_toy"), table(spark, d, "chunk_limits")))
+    kinds = table(spark, d, "chunks_toy").select("chunk_id", F.lower(F.trim("kind")).alias("kind")).distinct().join(limits, "kind")
+    within = held.join(kinds, "chunk_id").withColumn("within", F.col("largest") <= F.col("most"))
+    return within.select("chunk_id", "new_tokens", "gaps", F.col("missing").cast("bigint").alias("missing"), "within").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.filter("exact_windows > 0").select("doc_id", "item_id").distinct()

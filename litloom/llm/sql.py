@@ -62,6 +62,12 @@ SELECT DISTINCT c.chunk_id FROM chunks_toy c JOIN chunk_limits k ON lower(trim(c
 WHERE len(regexp_extract_all(c.embed_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) > k.max_tokens
 """
 
+P5_INVARIANTS = r"""
+SELECT DISTINCT chunk_id, CAST(n AS BIGINT) AS new_tokens, 0 AS gaps, 0 AS missing, true AS within
+FROM (SELECT c.chunk_id, k.max_tokens, len(regexp_extract_all(c.embed_text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS n
+      FROM chunks_toy c JOIN chunk_limits k ON lower(trim(c.kind)) = lower(trim(k.kind)))
+WHERE n > max_tokens
+"""
 
 P6_FOUND = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),

@@ -160,9 +160,9 @@ def test_pieces_round_trip():
         limit, overlap = rng.randint(1, 40), rng.randint(0, 50)
         cut = pieces.split_spans(text, limit, overlap)
         spans = [m.span() for m in pieces.TOKEN.finditer(text)]
-        assert all(n <= limit for _, _, n, _ in cut) and cut[0][0] == 0 and cut[-1][1] == len(text)
+        assert all(n <= limit for _, _, n, *_ in cut) and cut[0][0] == 0 and cut[-1][1] == len(text)
         rebuilt, seen = "", 0
-        for a, b, n, shared in cut:
+        for a, b, n, shared, _ in cut:
             inside = [s for s in spans if a <= s[0] and s[1] <= b]
             assert len(inside) == n
             new = inside[shared][0] if seen else a
@@ -176,15 +176,38 @@ def test_pieces_prefer_natural_boundaries():
     text = "Title | S\n" + "One two three. " * 4 + "\n" + "Four five six. " * 4
     cut = pieces.split_spans(text, 20, 0)
     assert all(text[a:b].rstrip()[-1] in ".S" for a, b, *_ in cut)
+    # two paragraphs that fit one by one are not filled up across the break between them
+    two = "T | 1 Intro\n" + "word " * 80 + ".\n" + "term " * 90 + "."
+    assert [(n, shared, at) for *_, n, shared, at in pieces.split_spans(two, 100, 5, "T", "1 Intro")] == [(85, 0, 0), (96, 5, 1)]
+    # a name of the section path opens a section; it goes before a later end of a paragraph
+    parts = "T | Data > Size\n" + "Some words here.\n" * 3 + "Size\n" + "More words here.\n" * 9
+    first, second = pieces.split_spans(parts, 30, 0, "T", "Data > Size")[:2]
+    assert parts[second[0]:].startswith("Size\nMore") and second[4] == 0
+
+
+def test_pieces_cut_inside_a_sentence_only_where_nothing_better_is_in_reach():
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "T | S\n" + "".join(rng.choices(["word ", "x1 ", ". ", ".\n", "\n", "2 Methods\n", "$a_{1}$ "], [9, 5, 2, 1, 1, 0.3, 3], k=rng.randint(20, 200)))
+        limit, overlap = rng.randint(8, 40), rng.randint(0, 7)
+        spans = [m.span() for m in pieces.TOKEN.finditer(text)]
+        level = pieces.boundary_levels(text, spans, 6, "S")
+        done = 0
+        for _, b, n, shared, _ in pieces.split_spans(text, limit, overlap, "T", "S"):
+            stop = done + n - shared
+            if stop < len(spans):
+                assert level[stop] == min(level[done + 1:done - shared + limit + 1]), "a higher boundary was in reach"
+                assert level[stop] not in level[stop + 1:done - shared + limit + 1], "a later one of its level was in reach"
+            done = stop
 
 
 def test_pieces_edges(spark):
     limits = spark.createDataFrame([("text", 5, 2), ("table", 0, 0), ("list", None, 1)], "kind string, max_tokens int, overlap_tokens int")
     rows = [("a", "Text ", "a b c d e f g", "x"), ("a", "text", "a b c d e f g", "x"), ("b", "text", None, "x"), ("c", "text", "", "x"), ("d", "other", "a " * 50, "x"), ("e", None, "a " * 50, "x"), ("f", "table", "a b", "x"), ("g", "text", "x" * 9000, "x"), ("h", "list", "a b c", "x")]
     got = pieces.split_oversized(spark.createDataFrame(rows, "chunk_id string, kind string, embed_text string, piece string"), limits).orderBy("piece_no").collect()
-    assert [(r.chunk_id, r.piece) for r in got] == [("a", "a b c d e "), ("a", "d e f g")] and got[1].overlap_tokens == 2
+    assert [(r.chunk_id, r.piece) for r in got] == [("a", "a b c d e "), ("a", "d e f g")] and got[1].overlap_tokens == 2 and got[0].stale
     long = " ".join(["tok"] * 300_000)
-    assert sum(n - s for _, _, n, s in pieces.split_spans(long, 480, 60)) == 300_000
+    assert sum(n - s for _, _, n, s, _ in pieces.split_spans(long, 480, 60)) == 300_000
 
 
 def test_leaks_match_brute_force(spark):
