@@ -72,12 +72,12 @@ def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark))
     return found.filter("exact_windows > 0").select("doc_id", "item_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), Scratch(spark))
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -231,23 +231,54 @@ def test_leaks_match_brute_force(spark):
 
     want = {(d, i) for d, t in docs for i, x in items if x and leaks.words_of(x) and t and holds(leaks.words_of(t), leaks.words_of(x))}
     frame = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(5))
-    got = leaks.leaks(frame, spark.createDataFrame(items, "item_id bigint, text string"), block_words=100)
+    asked = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(7))
+    got = leaks.leaks(frame, asked, Scratch(spark))
     assert {(r.doc_id, r.item_id) for r in got.filter("exact_windows > 0").collect()} == want
-    assert leaks.leaks(frame.limit(0), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
-    assert leaks.leaks(frame, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+    assert leaks.leaks(frame.limit(0), asked, Scratch(spark)).count() == 0
+    assert leaks.leaks(frame, asked.limit(0), Scratch(spark)).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    own = rng.integers(0, 2**63, 200, np.uint64)
-    near = own[rng.integers(0, 200, 300)].copy()
+def test_near_windows_of_edited_items(spark):
+    """Items with one to three edited words stand in longer texts; the truth is every window of the
+    item's size that is as similar as required, by brute force."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=rng.choice([50, 61, 74, 89, 120, 160]))) for i in range(60)]
+    docs = []
+    for d in range(240):
+        words = list(items[d % 60][1])
+        for _ in range(1 + d % 3):
+            at = rng.randrange(len(words))
+            words[at:at + rng.choice([0, 1, 1])] = [rng.choice(vocabulary)]
+        docs.append((d, [*rng.choices(vocabulary, k=40), *words, *rng.choices(vocabulary, k=40)]))
+    want = set()
+    for d, words in docs:
+        item, own = items[d % 60]
+        size = leaks.item_size(len(own))
+        held = [tuple(own[i:i + size]) for i in range(len(own) - size + 1)]
+        near = {leaks.shingle_similarity(tuple(words[i:i + size]), h) for i in range(len(words) - size + 1) for h in held if len({*words[i:i + size]} & {*h}) > size // 2}
+        if any(leaks.SIMILARITY <= s < 1 for s in near):
+            want.add((d, item))
+    text = lambda rows: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "id bigint, text string")
+    got = leaks.leaks(text(docs).withColumnRenamed("id", "doc_id"), text(items).withColumnRenamed("id", "item_id"), Scratch(spark))
+    found = {(r.doc_id, r.item_id) for r in got.filter("near_windows > 0").collect()}
+    assert found <= want and len(found) >= 0.95 * len(want) and len(want) > 100
+
+
+def test_multi_index_finds_all_within_the_radius(spark):
+    rng = random.Random(1)
+    own = [rng.getrandbits(64) for _ in range(150)]
+    near = []
     for k in range(300):
-        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
-            near[k] ^= np.uint64(1) << np.uint64(bit)
-    want = {(i, j) for i in range(300) for j in range(200) if bin(int(near[i]) ^ int(own[j])).count("1") <= leaks.RADIUS}
-    assert set(zip(*(x.tolist() for x in leaks._Index(own).near(near)))) == want
+        mark = rng.choice(own)
+        for bit in rng.sample(range(64), rng.randint(0, 10)):
+            mark ^= 1 << bit
+        near.append(mark)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = lambda marks: spark.createDataFrame([(1, signed(m), i) for i, m in enumerate(marks)], "size int, print bigint, no int")
+    want = {(i, j) for i, a in enumerate(near) for j, b in enumerate(own) if (a ^ b).bit_count() <= leaks.RADIUS}
+    got = [(r.no, r.held_no) for r in leaks.near_prints(frame(near), frame(own)).collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_mixture(spark):
