@@ -18,8 +18,18 @@ def p1_merged_works(spark: SparkSession, d: str) -> DataFrame:
     return truth.merged_works(table(spark, d, "manifest_dedup"), Scratch(spark))
 
 
+def p1_elected_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The elected fields after three rounds, which SQL can follow step by step."""
+    facts = truth.elected_facts(table(spark, d, "manifest_dedup"), Scratch(spark), rounds=3, tolerance=0.0)
+    return facts.select("work_id", "field", "value", F.round("share", 4).alias("share"))
+
+
 def p1_source_reliability(spark: SparkSession, d: str) -> DataFrame:
-    _, trust = truth.resolved_records(table(spark, d, "manifest_dedup"), Scratch(spark))
+    """How far the sources agree on the facts of the works that they share."""
+    loads, scratch = table(spark, d, "manifest_dedup"), Scratch(spark)
+    records, _ = truth.resolved_records(loads, scratch)
+    works = records.filter(F.col("work_id").isNotNull()).select("record_id", "work_id")
+    _, trust = truth.discover(truth.fact_claims(loads, works), scratch)
     return trust.select("provider", F.round("reliability", 6).alias("reliability"), "claims")
 
 

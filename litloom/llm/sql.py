@@ -38,6 +38,31 @@ ranked AS (
 SELECT work_id, record_id FROM ranked WHERE n > 1 AND place = 1
 """
 
+_FACTS = "arxiv_id openalex_id doi title authors year venue published_version_url source_url fulltext_url license in_scope topic paper_type".split()
+
+
+def _round(i: int) -> str:
+    return f"""
+votes{i} AS (SELECT entity, field, value, round(sum(weight * -ln(1 - reliability)), 9) AS vote
+  FROM claims JOIN trust{i} USING (provider) GROUP BY ALL),
+best{i} AS (SELECT entity, field, value, vote, sum(vote) OVER (PARTITION BY entity, field) AS all_,
+  row_number() OVER (PARTITION BY entity, field ORDER BY vote DESC, value) AS place FROM votes{i}),
+trust{i + 1} AS (SELECT provider, round(greatest(0.05, least(0.99, (sum(CASE WHEN c.value = b.value THEN weight ELSE 0 END) + 3.2) / (sum(weight) + 4))), 9) AS reliability
+  FROM claims c JOIN best{i} b ON c.entity = b.entity AND c.field = b.field AND b.place = 1 GROUP BY provider)"""
+
+
+P1_ELECTED_FACTS = f"""
+WITH records AS (
+  SELECT {_id('record_id')} AS record_id, arg_max({_filled('work_id')}, coalesce(updated_at, TIMESTAMP '1000-01-01')) FILTER ({_filled('work_id')} IS NOT NULL) AS work_id
+  FROM manifest_dedup GROUP BY 1),
+works AS (SELECT record_id, work_id FROM records WHERE record_id IS NOT NULL AND work_id IN (SELECT work_id FROM records WHERE record_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)),
+said AS (
+  {' UNION '.join(f"SELECT {_id('record_id')} AS record_id, coalesce(lower(translate({_filled('source')}, '-', '_')), '(unknown)') AS provider, '{f}' AS field, {'lower' if f == 'doi' else ''}({_filled(f)}) AS value FROM manifest_dedup" for f in _FACTS)}),
+claims AS (SELECT work_id AS entity, field, value, provider, count(*) AS weight FROM said JOIN works USING (record_id) WHERE value IS NOT NULL GROUP BY ALL),
+trust0 AS (SELECT DISTINCT provider, CAST(0.8 AS DOUBLE) AS reliability FROM claims),{','.join(map(_round, range(4)))}
+SELECT entity AS work_id, field, value, round(vote / all_, 4) AS share FROM best3 WHERE place = 1
+"""
+
 _GROUPS = f"""
 rows_ AS (
   SELECT {_id('record_a')} AS x, {_id('record_b')} AS y, lower(trim(decision)) AS decision, scored_at, pair_no

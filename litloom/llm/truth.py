@@ -3,16 +3,17 @@
 A *claim* says that a field of an entity has a value; its provider is the source that the load
 names.  Two steps alternate until the reliabilities stand still:
 
-* votes: a value's support is the sum of weight x reliability over its claims; the value with the
-  highest support is held true (ties: the value that is first by code point);
-* reliability: the share of a source's claimed weight that agrees with the values held true.
-
-Claims come in two kinds.  *State* fields of a record (source, full text, version, work) change in
-time, so an older value is no evidence against a newer one: the claim on the value seen latest
-weighs 1, the next 1/4, and so on.  As reliabilities stay within [1/2, 1], the latest filled value
-always outvotes all older ones (1/2 > 1/4 + 1/16 + ...), and reliability decides between values of
-the same instant.  *Fact* fields of a work (title, authors, year, ...) do not change: each record
-that states a value counts once for each source, and the records of unreliable sources count less.
+* votes: a value's support is the sum over its claims of weight x -ln(1 - reliability), so that one
+  claim of a source that is right 95 times in 100 outweighs four of sources that are right every other
+  time; the value with the highest support is held true (ties: the value that is first by code point);
+* reliability: the share of a source's claimed weight that agrees with the values held true, starting
+  from and drawn to ``START`` by ``prior`` claims, within ``LOWEST`` and ``HIGHEST``.
+
+*State* fields of a record (source, full text, version, work) change in time, so an older value is no
+evidence against a newer one: the claims of the latest instant at which the field was filled are the
+candidates, and every provider that states one of them has a vote.  *Fact* fields of a work (title,
+authors, year, ...) do not change: every record that states a value is a claim of each source that
+loaded it.
 
 Only entities on whose field the claims differ take part in the iteration; the agreement of the rest
 is one constant per source, added up once.
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.llm.ids import filled, record_id, version_number
+from litloom.operators.identity import canonical_key
 from litloom.session import Scratch
 
 STATE_FIELDS = ("work_id", "source", "fulltext_status", "arxiv_latest_version", "canonical")
@@ -36,7 +38,7 @@ FACT_FIELDS = (
     "source_url", "fulltext_url", "license", "in_scope", "topic", "paper_type",
 )
 UNKNOWN = "(unknown)"
-START, LOWEST = 0.8, 0.5
+START, LOWEST, HIGHEST = 0.8, 0.05, 0.99
 KEYS = ["entity", "field"]
 
 
@@ -58,7 +60,8 @@ def _spoken(field: str) -> Column:
 
 
 def state_claims(loads: DataFrame) -> DataFrame:
-    """One claim for each value a record's field ever had, by when it was last true."""
+    """One claim for each value and provider at the latest instant at which a record's field was filled.
+    Two aggregations with partial results; no record's loads are brought together."""
     said = (
         loads.select(
             record_id(F.col("record_id")).alias("entity"),
@@ -68,23 +71,16 @@ def state_claims(loads: DataFrame) -> DataFrame:
         )
         .filter(F.col("entity").isNotNull())
         .select("entity", "provider", "updated_at", "claim.field", "claim.value")
-    )
-    last = said.groupBy(*KEYS, "value").agg(
-        F.max("updated_at").alias("seen"),
-        F.max_by("provider", F.struct("updated_at", "provider")).alias("provider"),
-    )
-    # the window holds the distinct values of one record's field, not its loads
-    by_time = Window.partitionBy(*KEYS).orderBy(F.col("seen").desc_nulls_last())
-    at_once = Window.partitionBy(*KEYS, "seen")
-    return last.select(
-        *KEYS, "value", "provider",
-        (F.pow(F.lit(0.25), F.dense_rank().over(by_time) - 1) / F.count(F.lit(1)).over(at_once)).alias("weight"),
+        .groupBy(*KEYS, "value", "provider").agg(F.max("updated_at").alias("seen"))
     )
+    # the window holds the distinct values and providers of one record's field, not its loads
+    newest = F.max("seen").over(Window.partitionBy(*KEYS))
+    return said.withColumn("newest", newest).filter(F.col("seen").eqNullSafe(F.col("newest"))).select(*KEYS, "value", "provider", F.lit(1.0).alias("weight"))
 
 
 def fact_claims(loads: DataFrame, works: DataFrame) -> DataFrame:
-    """One claim for each value, work and source, weighing the records that state it.  ``works``:
-    record_id, work_id."""
+    """The claims of each source on each value of a work's field, weighing the records that state it.
+    ``works``: record_id, work_id."""
     said = (
         loads.select(
             record_id(F.col("record_id")).alias("record_id"),
@@ -111,8 +107,8 @@ def discover(claims: DataFrame, scratch: Scratch, rounds: int = 12, tolerance: f
 
     -> (values: entity, field, value, support, share; reliability: provider, reliability, claims)
 
-    ``prior`` claims of the starting reliability are added to every source.  ``rounds`` is a guard:
-    the tests and the test tables settle in three or four.
+    ``prior`` claims of the starting reliability are added to every source.  ``rounds`` is a guard
+    against swinging: the tests and the test tables settle in three or four.
     """
     claims = scratch.keep(claims)
     kinds = claims.groupBy(*KEYS).agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -136,7 +132,7 @@ def discover(claims: DataFrame, scratch: Scratch, rounds: int = 12, tolerance: f
         share = (F.col("settled") + F.coalesce("agreed", F.lit(0.0)) + prior * START) / (F.col("said") + prior)
         newer = scratch.keep(
             base.join(agreed, "provider", "left").select(
-                "provider", F.greatest(F.lit(LOWEST), F.least(F.lit(1.0), share)).alias("reliability")
+                "provider", F.round(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), share)), 9).alias("reliability")
             )
         )
         moved = newer.join(trust.withColumnRenamed("reliability", "before"), "provider").agg(
@@ -151,7 +147,7 @@ def discover(claims: DataFrame, scratch: Scratch, rounds: int = 12, tolerance: f
 
 
 def _votes(claims: DataFrame, trust: DataFrame) -> DataFrame:
-    return claims.join(trust, "provider").groupBy(*KEYS, "value").agg(F.sum(F.col("weight") * F.col("reliability")).alias("vote"))
+    return claims.join(trust, "provider").groupBy(*KEYS, "value").agg(F.sum(F.col("weight") * -F.log(1 - F.col("reliability"))).alias("vote"))
 
 
 def _elect(votes: DataFrame) -> DataFrame:
@@ -174,23 +170,6 @@ def resolved_records(loads: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dat
     return scratch.keep(records), trust
 
 
-def canonical_rank() -> Column:
-    """The order in which the records of a work are preferred, smallest first: full text from the
-    first source, full text from the second, the first without text, the rest; then structured full
-    text, the higher version, the smaller id."""
-    # The two main sources, the full-text kinds, the structured kinds.
-    status, full = F.coalesce("fulltext_status", F.lit("")), F.coalesce("fulltext_status", F.lit("")).isin("html", "ar5iv", "pdf")
-    source = F.coalesce("source", F.lit(""))
-    tier = (
-        F.when((source == "arxiv") & full, 0).when((source == "acl") & full, 1).when(source == "arxiv", 2).otherwise(3)
-    )
-    version = F.coalesce(F.col("arxiv_latest_version").cast("int"), F.lit(0))
-    return F.struct(
-        tier.alias("tier"), (~status.isin("html", "ar5iv")).cast("int").alias("flat"),
-        (-version).alias("older"), F.col("record_id").alias("record_id"),
-    )
-
-
 def survivors(records: DataFrame) -> DataFrame:
     """work_id, record_id, records, flagged: the survivor of each work with two or more records, and
     whether the old canonical flag named it.  One aggregation with partial results on the map side;
@@ -199,7 +178,7 @@ def survivors(records: DataFrame) -> DataFrame:
         records.filter(F.col("work_id").isNotNull())
         .groupBy("work_id")
         .agg(
-            F.min(canonical_rank()).alias("first"),
+            F.min(canonical_key(F.col("source"), F.col("fulltext_status"), F.col("arxiv_latest_version").cast("int"), F.col("record_id"))).alias("first"),
             F.count(F.lit(1)).alias("records"),
             F.min(F.when(F.col("canonical") == "true", F.col("record_id"))).alias("flag_low"),
             F.max(F.when(F.col("canonical") == "true", F.col("record_id"))).alias("flag_high"),
@@ -213,6 +192,15 @@ def survivors(records: DataFrame) -> DataFrame:
     )
 
 
+def elected_facts(loads: DataFrame, scratch: Scratch, **settings) -> DataFrame:
+    """work_id, field, value, support, share: the fact fields of all works with two or more records."""
+    records, _ = resolved_records(loads, scratch)
+    works = records.filter(F.col("work_id").isNotNull()).select("record_id", "work_id")
+    wanted = works.join(survivors(records).select("work_id"), "work_id", "left_semi")
+    values, _ = discover(fact_claims(loads, wanted), scratch, **settings)
+    return values.withColumnRenamed("entity", "work_id")
+
+
 def merged_works(loads: DataFrame, scratch: Scratch) -> DataFrame:
     """The surviving record of each work with two or more records, its fact fields elected from the
     claims of all records of the work, and the lowest support share among them."""

@@ -46,19 +46,40 @@ def test_truth_latest_value_wins(spark):
     got = {r.record_id: r for r in records.collect()}
     assert (got["arxiv:1"].source, got["arxiv:1"].fulltext_status, got["arxiv:1"].arxiv_latest_version) == ("arxiv", "html", "3")
     assert [r[:2] for r in truth.survivors(records).collect()] == [("w", "arxiv:1")]
-    assert all(0.5 <= r.reliability <= 1 for r in trust.collect())
+    assert all(truth.LOWEST <= r.reliability <= truth.HIGHEST for r in trust.collect())
     merged = truth.merged_works(loads(spark, rows), Scratch(spark)).collect()
     assert [(r.work_id, r.record_id, r.title) for r in merged] == [("w", "arxiv:1", "A")]
     assert truth.merged_works(loads(spark, []), Scratch(spark)).count() == 0
 
 
-def test_truth_unreliable_source_loses(spark):
-    claims = [("e%d" % i, "f", "good", s, 1.0) for i in range(20) for s in "ab"] + [("e%d" % i, "f", "bad", "c", 1.0) for i in range(20)]
-    claims += [("x", "f", "good", "a", 1.0), ("x", "f", "bad", "c", 1.0)]
-    values, trust = truth.discover(spark.createDataFrame(claims, "entity string, field string, value string, provider string, weight double"), Scratch(spark))
-    assert {r.value for r in values.collect()} == {"good"}
+CLAIMS = "entity string, field string, value string, provider string, weight double"
+
+
+def test_truth_reliable_minority_wins(spark, monkeypatch):
+    """a agrees with d and e on many entities, b and c are wrong on theirs in different ways: on x, b and c
+    together lose against a; where reliability is held constant, the two win."""
+    claims = [(f"e{i}", "f", "right", s, 1.0) for i in range(30) for s in "ade"]
+    claims += [(f"e{i}", "f", f"wrong {s}", s, 1.0) for i in range(30) for s in "bc"]
+    claims += [("x", "f", "right", "a", 1.0), ("x", "f", "wrong", "b", 1.0), ("x", "f", "wrong", "c", 1.0)]
+    frame = spark.createDataFrame(claims, CLAIMS)
+    values, trust = truth.discover(frame, Scratch(spark))
+    assert {r.value for r in values.collect()} == {"right"}
     held = {r.provider: r.reliability for r in trust.collect()}
-    assert held["a"] > 0.9 and held["c"] == 0.5
+    assert held["a"] > 0.9 and held["b"] < 0.2
+    monkeypatch.setattr(truth, "LOWEST", truth.START)
+    monkeypatch.setattr(truth, "HIGHEST", truth.START)
+    constant, _ = truth.discover(frame, Scratch(spark))
+    assert {(r.entity, r.value) for r in constant.collect()} ^ {(r.entity, r.value) for r in values.collect()} == {("x", "right"), ("x", "wrong")}
+
+
+def test_truth_counts_every_provider(spark):
+    """Five sources against one at the same instant; a value of an older instant has no vote."""
+    rows = [{"record_id": "r", "source": s, "fulltext_status": "html", "updated_at": "2020-01-02"} for s in "abcde"]
+    rows += [{"record_id": "r", "source": "f", "fulltext_status": "pdf", "updated_at": "2020-01-02"}, {"record_id": "r", "source": "g", "fulltext_status": "old", "updated_at": "2020-01-01"}]
+    claims = {(r.value, r.provider): r.weight for r in truth.state_claims(loads(spark, rows * 2)).filter("field = 'fulltext_status'").collect()}
+    assert claims == {("html", s): 1.0 for s in "abcde"} | {("pdf", "f"): 1.0}
+    records, _ = truth.resolved_records(loads(spark, rows), Scratch(spark))
+    assert records.first().fulltext_status == "html"
 
 
 def test_near_titles_match_brute_force(spark):
