@@ -15,7 +15,7 @@ LOST = "�"
 RUN = re.compile(r"[^\x00-\x7f]+")
 REFERENCE = re.compile(r"&#(?:x([0-9a-fA-F]{1,6})|(\d{1,7}));")
 #: Text shown as an example of characters, which is no text of the document.
-QUOTED = re.compile(r"`[^`\n]{1,60}`")
+QUOTED = re.compile(r"`[^`\n]+`")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -47,6 +47,8 @@ def _pair(read: str, written: str) -> dict[int, str]:
 
 _PAIRS = {f"{w} as {r}": _pair(r, w) for r in READ_AS for w in WRITTEN_AS if w != r and (w, r) != ("cp1252", "iso8859_15")}
 
+TABLES = len(_PAIRS)
+
 
 def _utf8(run: str, codec: str) -> str | None:
     """The run with every UTF-8 sequence that the codec's bytes form; None if there is none."""

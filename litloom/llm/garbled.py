@@ -5,19 +5,27 @@ chain of encodings it went through: none, or one of ``encodings.restorations``.
 a chain is that of the restored run as sound text: a model of neighbouring characters, counted over
 the whole collection, and the shapes of letters and marks side by side.
 
-One pass over all texts counts the units.  Those that no chain could make likelier by their shapes
-are sound; they make up the first model of sound text.  The suspicious rest goes through EM:
+One pass over all texts counts the units of every source and field.  All units that any chain can
+have made go through EM; the rest make up the first model of sound text:
 
 * E: the posterior of every chain for every distinct unit of every source and field;
 * M: the chain shares of every source and field (smoothed by those of all sources, which pools weak
   evidence across records), and the character counts, which the restored readings join with their
   posteriors.
 
-Then every record adds up the log odds of each chain over its units; it is garbled where the odds of
-some chain exceed even, and its text is restored by the inverse of the most probable chain.
+Rounds go on until the pooled shares move by less than ``TOLERANCE``.  A second pass weighs every
+record.  In a garbled record each unit is garbled by the record's chain with a probability, one of
+``RATES``, because records can be garbled in places; so sound units speak against a chain, weak
+evidence adds up, and strong evidence in one place is enough.  Runs whose shapes a chain does not
+improve (one sound letter for another) are judged by all their places in the record together, and one
+such run alone is no evidence: it cannot be told from an unusual letter; where there is no other
+evidence, the odds are divided by the number of letter tables that are tried.  The prior odds of the record
+follow from its source's share of the chain.  A record is garbled where the posterior odds of some chain
+exceed even.  Its text is repaired run by run: each run takes the reading with the highest posterior,
+given the posteriors of the record's chains; none is a reading too.
 
 The model of characters is a table of fixed size (hashed), so what is sent to the tasks has a bound.
-Distinct units are shuffled once, records' suspicious units once.
+Only counts of distinct units and the evidence of suspicious records are shuffled, never texts.
 
 Characters between backticks are shown as examples and are no text.  Numeric character references are
 read as the characters they stand for.  Replacement characters prove a wrong decoding that cannot be
@@ -38,15 +46,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litloom.llm.encodings import LOST, QUOTED, REFERENCE, RUN, restorations, structure
+from litloom.llm.encodings import LOST, QUOTED, REFERENCE, RUN, TABLES, restorations, structure
 from litloom.llm.mixture import source_key
 from litloom.session import Scratch, spread
 
 PAIRS, SINGLES = 1 << 18, 1 << 16
 NONE, UNRESTORABLE = "none", "lost"
-#: Prior share of garbled units, weight of the shapes, least gain in shape of a suspicious unit, log
-#: odds of one unit that count at most and at least, claims of the pooled shares for each source.
-PRIOR, SHAPES, GAIN, MOST, LEAST, POOLED = 0.05, 0.6, 0.9, 15.0, 1.0, 20.0
+#: Prior share of garbled units, weight of the shapes, most log odds of one unit that count, claims of
+#: the pooled shares for each source, probabilities of a unit of a garbled record to be garbled.
+PRIOR, SHAPES, MOST, POOLED, RATES = 0.05, 0.6, 15.0, 20.0, (0.01, 0.1, 0.5, 0.95)
+#: Movement of the pooled shares that ends the rounds, least gain in shape that speaks for a chain by
+#: itself, units whose odds a task remembers.
+TOLERANCE, GAIN, REMEMBERED = 1e-3, 0.5, 100_000
 FLOOR = -12.0
 
 
@@ -78,21 +89,10 @@ def units_of(text: str) -> Counter:
 
 
 def readings(unit: str) -> list[tuple[str, str, float]]:
-    """(chain, restored run, gain in shape) of the chains that make the unit's shapes likelier."""
+    """(chain, restored run, gain in shape) of all chains that can have made the unit."""
     left, run, right = unit[0], unit[1:-1], unit[-1]
     own = structure(left, run, right)
-    if own >= -0.5 * len(run) and len(run) == 1:
-        return []  # nothing odd, and nothing shorter is possible
-    out = []
-    for chain, text in restorations(run, right == " "):
-        gain = structure(left, text, right) - own
-        if gain > GAIN:
-            out.append((chain, text, gain))
-    return out
-
-
-def suspicious(unit: str) -> bool:
-    return LOST in unit or bool(readings(unit))
+    return [(chain, text, structure(left, text, right) - own) for chain, text in restorations(run, right == " ")]
 
 
 def buckets(unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,52 +112,55 @@ class Model:
 
     def likelihood(self, unit: str) -> float:
         if unit not in self.known:
+            if len(self.known) > 20 * REMEMBERED:
+                self.known.clear()
             pair, first, second = buckets(unit)
             single = (self.counts[second] + 0.05) / (self.total + 0.05 * SINGLES)
             each = np.log((self.counts[pair] + single) / (self.counts[first] + 1.0))
             self.known[unit] = float(np.maximum(each, FLOOR).sum())
         return self.known[unit]
 
-    def odds(self, unit: str) -> list[tuple[str, str, float]]:
-        """(chain, restored run, log odds of the chain against none, without the shares)"""
+    def odds(self, unit: str) -> list[tuple[str, str, float, bool]]:
+        """(chain, restored run, log odds of the chain against none, without the shares, whether the shapes
+        speak for it)"""
         own = self.likelihood(unit)
-        return [(chain, text, self.likelihood(unit[0] + text + unit[-1]) - own + SHAPES * gain) for chain, text, gain in readings(unit)]
+        return [(chain, text, self.likelihood(unit[0] + text + unit[-1]) - own + SHAPES * gain, gain > GAIN) for chain, text, gain in readings(unit)]
 
 
 def _share(shares: dict, chain: str) -> float:
     return math.log(max(shares.get(chain, 0.0), PRIOR / 50) / max(shares.get(NONE, 1 - PRIOR), 1e-9))
 
 
-_SCAN = "what int, doc_id bigint, source string, unit string, place int, n double"
+def fielded(documents: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """doc_id, source, field, text: one row for each filled field of a record."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")
+    return documents.select(F.col("doc_id").cast("bigint"), source_key(F.col("source")).alias("source"), each).select("doc_id", "source", "f.field", "f.text").filter(F.length("text") > 0)
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """what 0: suspicious units by record; 1: character counts of sound units; 2: sound units by source."""
+_SCAN = "what int, source string, field string, unit string, place int, n double"
+
+
+def scan(texts: DataFrame) -> DataFrame:
+    """what 0: units that some chain can have made, by source and field; 1: character counts of the
+    rest; 2: numbers of the rest by source and field."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdict: dict[str, bool] = {}
         names = [c.split()[0] for c in _SCAN.split(", ")]
         for batch in batches:
-            rows, sound, totals = [], Counter(), Counter()
-            for doc, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
+            mine, sound, totals = Counter(), Counter(), Counter()
+            for source, field, text in zip(batch["source"], batch["field"], batch["text"]):
                 for unit, n in units_of(text).items():
-                    bad = verdict.get(unit)
-                    if bad is None:
-                        if len(verdict) > 200_000:
-                            verdict.clear()
-                        bad = verdict[unit] = suspicious(unit)
-                    if bad:
-                        rows.append((0, doc, source, unit, None, float(n)))
+                    if LOST in unit or restorations(unit[1:-1], unit[-1] == " "):
+                        mine[source, field, unit] += n
                     else:
                         sound[unit] += n
-                        totals[source] += n
-            rows += [(2, None, source, None, None, float(n)) for source, n in totals.items()]
+                        totals[source, field] += n
+            rows = [(0, *key, None, float(n)) for key, n in mine.items()]
+            rows += [(2, *key, None, None, float(n)) for key, n in totals.items()]
             rows += [(1, None, None, None, place, n) for place, n in _counted(sound)]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "place": "Int32"})
+            yield pd.DataFrame(rows, columns=names).astype({"place": "Int32"})
 
-    return documents.filter(F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("bigint"), source_key(F.col("source")).alias("source"), "text"
-    ).mapInPandas(run, _SCAN)
+    return texts.select("source", "field", "text").mapInPandas(run, _SCAN)
 
 
 def _counted(units) -> list[tuple[int, float]]:
@@ -180,48 +183,53 @@ def _table(rows: DataFrame) -> np.ndarray:
     return counts
 
 
-def _shares(counted: DataFrame) -> DataFrame:
-    """counted: source, chain, n -> source, shares: map of chain to share, smoothed by all sources."""
+def _pool(counted: DataFrame) -> dict[str, float]:
+    """The shares of the chains over all sources."""
     pooled = counted.groupBy("chain").agg(F.sum("n").alias("n"))
     everything = pooled.agg(F.map_from_entries(F.collect_list(F.struct("chain", "n"))).alias("m")).first()["m"] or {}
     total = sum(everything.values()) or 1.0
     base = {c: (1 - PRIOR) * n / total + PRIOR / 50 for c, n in everything.items()}
-    base[NONE] = max(base.get(NONE, 0.0), 0.5)
-    own = counted.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "n"))).alias("m"), F.sum("n").alias("all"))
-    pool = F.create_map(*[x for c, v in base.items() for x in (F.lit(c), F.lit(float(v)))])
-    mixed = F.transform_values(pool, lambda c, v: (F.coalesce(F.element_at("m", c), F.lit(0.0)) + POOLED * v) / (F.col("all") + POOLED))
-    return own.select("source", mixed.alias("shares"))
+    return base | {NONE: max(base.get(NONE, 0.0), 0.5)}
+
 
+def _shares(counted: DataFrame, pool: dict[str, float]) -> DataFrame:
+    """counted: source, field, chain, n -> source, field, shares: map of chain to share, smoothed by all
+    sources."""
+    own = counted.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "n"))).alias("m"), F.sum("n").alias("all"))
+    base = F.create_map(*[x for c, v in pool.items() for x in (F.lit(c), F.lit(float(v)))])
+    mixed = F.transform_values(base, lambda c, v: (F.coalesce(F.element_at("m", c), F.lit(0.0)) + POOLED * v) / (F.col("all") + POOLED))
+    return own.select("source", "field", mixed.alias("shares"))
 
-_STEP = "what int, source string, chain string, place int, n double"
+
+_STEP = "what int, source string, field string, chain string, place int, n double"
 
 
 def _expect(units: DataFrame, shares: DataFrame, counts: np.ndarray | None) -> DataFrame:
-    """The E step over distinct units: what 1: character counts, 2: chains by source.  Without counts,
-    the shapes alone decide, against odds of e**3 for sound text."""
+    """The E step over distinct units: what 1: character counts, 2: chains by source and field.  Without
+    counts, the shapes alone decide, against odds of e**3 for sound text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(counts) if counts is not None else None
         for batch in batches:
             weights, chains = Counter(), Counter()
-            for source, unit, n, held in zip(batch["source"], batch["unit"], batch["n"], batch["shares"]):
+            for source, field, unit, n, held in zip(batch["source"], batch["field"], batch["unit"], batch["n"], batch["shares"]):
                 post = posterior(model, unit, held or {}) if model else first_guess(unit)
                 for chain, (text, p) in post.items():
-                    chains[source, chain] += n * p
+                    chains[source, field, chain] += n * p
                     if text is not None and p > 0.01:
                         weights[unit[0] + text + unit[-1]] += n * p
-            rows = [(2, source, chain, None, n) for (source, chain), n in chains.items()]
-            rows += [(1, None, None, place, n) for place, n in _counted(weights)]
+            rows = [(2, *key, None, n) for key, n in chains.items()]
+            rows += [(1, None, None, None, place, n) for place, n in _counted(weights)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _STEP.split(", ")]).astype({"place": "Int32"})
 
-    return units.join(shares, "source", "left").mapInPandas(run, _STEP)
+    return units.join(shares, ["source", "field"], "left").mapInPandas(run, _STEP)
 
 
 def first_guess(unit: str) -> dict[str, tuple[str | None, float]]:
     if LOST in unit:
         return {UNRESTORABLE: (None, 1.0)}
     chain, text, gain = max(readings(unit), key=lambda r: r[2])
-    sound = 1 / (1 + math.exp(min(50.0, SHAPES * gain - 3)))
+    sound = 1 / (1 + math.exp(min(50.0, SHAPES * gain - 3))) if gain > 0 else 1.0
     return {NONE: (unit[1:-1], sound), chain: (text, 1 - sound)}
 
 
@@ -229,7 +237,7 @@ def posterior(model: Model, unit: str, shares: dict) -> dict[str, tuple[str | No
     """chain -> (restored run or None, probability)"""
     if LOST in unit:
         return {UNRESTORABLE: (None, 1.0)}
-    odds = {chain: (text, min(MOST * 2, odd) + _share(shares, chain)) for chain, text, odd in model.odds(unit)}
+    odds = {chain: (text, min(MOST * 2, odd) + _share(shares, chain)) for chain, text, odd, _ in model.odds(unit)}
     top = max([0.0, *(o for _, o in odds.values())])
     weight = {chain: math.exp(o - top) for chain, (_, o) in odds.items()}
     none = math.exp(-top)
@@ -237,90 +245,136 @@ def posterior(model: Model, unit: str, shares: dict) -> dict[str, tuple[str | No
     return {NONE: (unit[1:-1], none / total)} | {c: (odds[c][0], w / total) for c, w in weight.items()}
 
 
-def judge(documents: DataFrame, scratch: Scratch, rounds: int = 3) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """-> (records: doc_id, source, chain, log_odds, units of the garbled records; shares by source;
-    the model of sound text)"""
-    scanned = scratch.keep(scan(documents))
-    by_record = scanned.filter("what = 0")
-    units = scratch.keep(spread(by_record.groupBy("source", "unit").agg(F.sum("n").alias("n")), "unit"))
+def fit(texts: DataFrame, scratch: Scratch, rounds: int = 20, tolerance: float = TOLERANCE) -> tuple[DataFrame, np.ndarray]:
+    """-> (shares: source, field, map of chain to share; the model of sound text).  ``rounds`` is a guard:
+    the test tables settle in five to eight."""
+    scanned = scratch.keep(scan(texts))
+    units = scratch.keep(spread(scanned.filter("what = 0").groupBy("source", "field", "unit").agg(F.sum("n").alias("n")), "unit"))
     sound_places = _table(scanned.filter("what = 1").select("place", "n"))
-    sound = scratch.keep(scanned.filter("what = 2").groupBy("source").agg(F.sum("n").alias("n")).select("source", F.lit(NONE).alias("chain"), "n"))
-    counts, shares = None, scratch.keep(_shares(sound))
-    for _ in range(rounds + 1):
+    sound = scratch.keep(scanned.filter("what = 2").groupBy("source", "field").agg(F.sum("n").alias("n")).select("source", "field", F.lit(NONE).alias("chain"), "n"))
+    pool = _pool(sound)
+    counts, shares = None, scratch.keep(_shares(sound, pool))
+    for _ in range(rounds):
         step = scratch.keep(_expect(units, shares, counts))
+        settled = counts is not None
         counts = sound_places + _table(step.filter("what = 1").select("place", "n"))
-        counted = step.filter("what = 2").select("source", "chain", "n").unionByName(sound)
-        shares = scratch.keep(_shares(counted.groupBy("source", "chain").agg(F.sum("n").alias("n"))))
+        counted = step.filter("what = 2").select("source", "field", "chain", "n").unionByName(sound)
+        before, pool = pool, _pool(counted)
+        scratch.drop(shares)
+        shares = scratch.keep(_shares(counted.groupBy("source", "field", "chain").agg(F.sum("n").alias("n")), pool))
         scratch.drop(step)
-    model_counts = counts
+        if settled and sum(abs(pool.get(c, 0.0) - before.get(c, 0.0)) for c in {*pool, *before}) < tolerance:
+            break
+    for table in (scanned, units):
+        scratch.drop(table)
+    return shares, counts
+
+
+def record_odds(units: list[tuple[str, dict[str, tuple[float, bool]]]]) -> dict[str, list[float]]:
+    """units: of each distinct unit of a record, its run and the chains with (log odds, whether the shapes
+    gain) -> chain: the log odds of the record at each of RATES, without the prior."""
+    out = {}
+    for chain in dict.fromkeys(c for _, odds in units for c, (odd, _) in odds.items() if odd > 0):
+        shaped, plain = [], Counter()
+        for run, odds in units:
+            if chain in odds:
+                odd, gains = odds[chain]
+                if gains:
+                    shaped.append(odd)
+                else:
+                    plain[run] += odd
+        if max(shaped, default=0.0) > 0 or sum(o > 0 for o in plain.values()) > 1:
+            each = [*shaped, *(min(MOST, o) for o in plain.values())]
+            tried = 0.0 if max(shaped, default=0.0) > 0 else math.log(TABLES)
+            out[chain] = [len(units) * math.log1p(-r) - tried + sum(math.log1p(r / (1 - r) * math.exp(o)) for o in each) for r in RATES]
+    return out
+
+
+def judge(documents: DataFrame, scratch: Scratch, fields: tuple[str, ...] = ("text",)) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """-> (records: doc_id, field, source, chain, log_odds, chains (log odds of all chains in question),
+    units, lost of the garbled records; shares by source and field; the model of sound text)"""
+    texts = fielded(documents, fields)
+    shares, counts = fit(texts, scratch)
+    rates = [f"r{k}" for k in range(len(RATES))]
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(model_counts)
+        model, known = Model(counts), {}
         for batch in batches:
             rows = []
-            for doc, source, unit, held in zip(batch["doc_id"], batch["source"], batch["unit"], batch["shares"]):
-                if LOST in unit:
-                    rows.append((doc, source, UNRESTORABLE, MOST, 0.0))
-                for chain, _, odd in model.odds(unit):
-                    if odd > LEAST:
-                        rows.append((doc, source, chain, min(MOST, odd), _share(held or {}, chain)))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "chain", "odds", "prior"])
-
+            for doc, source, field, text in zip(batch["doc_id"], batch["source"], batch["field"], batch["text"]):
+                units, open_ = [], False
+                for unit in units_of(text):
+                    if LOST in unit:
+                        rows.append((doc, source, field, UNRESTORABLE, 1, *[MOST] * len(RATES)))
+                        continue
+                    odds = known.get(unit)
+                    if odds is None:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        each = {chain: (min(MOST, odd), gains) for chain, _, odd, gains in model.odds(unit)}
+                        odds = known[unit] = each, any(odd > 0 for odd, _ in each.values())
+                    units.append((unit[1:-1], odds[0]))
+                    open_ |= odds[1]
+                if open_:
+                    # a prior of even odds is the most that counts
+                    rows += [(doc, source, field, chain, len(units), *at) for chain, at in record_odds(units).items() if any(x > math.log(r) for x, r in zip(at, RATES))]
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "field", "chain", "units", *rates])
+
+    evidence = texts.mapInPandas(weigh, "doc_id bigint, source string, field string, chain string, units bigint, " + ", ".join(f"{r} double" for r in rates))
+    share = lambda chain: F.greatest(F.coalesce(F.element_at("shares", chain), F.lit(0.0)), F.lit(PRIOR / 50))
+    # a record's prior odds: the share of its source's units, over the rate at which a garbled record has them
+    prior = lambda r: F.log(F.least(F.lit(0.5), share(F.col("chain")) / r)) - F.log(F.greatest(F.lit(0.5), share(F.lit(NONE))))
+    odds = F.greatest(*[F.col(name) + prior(r) for name, r in zip(rates, RATES)])
+    weighed = (
+        evidence.groupBy("doc_id", "field", "chain").agg(F.min("source").alias("source"), F.sum("units").alias("units"), *[F.sum(r).alias(r) for r in rates])
+        .join(shares, ["source", "field"], "left")
+        .withColumn("log_odds", F.when(F.col("chain") == UNRESTORABLE, F.lit(MOST)).otherwise(odds))
+    )
     records = (
-        by_record.join(shares, "source", "left")
-        .mapInPandas(weigh, "doc_id bigint, source string, chain string, odds double, prior double")
-        .groupBy("doc_id", "chain")
-        .agg((F.sum("odds") + F.max("prior")).alias("log_odds"), F.count(F.lit(1)).alias("units"), F.min("source").alias("source"))
-        .filter("log_odds > 0")
-        .groupBy("doc_id")
+        weighed.groupBy("doc_id", "field")
         .agg(F.max(F.struct("log_odds", "chain")).alias("top"), F.max("units").alias("units"), F.min("source").alias("source"),
-             F.max(F.when(F.col("chain") != UNRESTORABLE, F.struct("log_odds", "chain"))).alias("mend"))
-        .select("doc_id", "source", F.coalesce("mend.chain", "top.chain").alias("chain"), F.round("top.log_odds", 3).alias("log_odds"), "units",
+             F.max(F.when((F.col("chain") != UNRESTORABLE) & (F.col("log_odds") > 0), F.struct("log_odds", "chain"))).alias("mend"),
+             F.map_from_entries(F.collect_list(F.struct("chain", "log_odds"))).alias("chains"))
+        .filter("top.log_odds > 0")
+        .select("doc_id", "field", "source", F.coalesce("mend.chain", "top.chain").alias("chain"), F.round("top.log_odds", 3).alias("log_odds"), "chains", "units",
                 (F.col("top.chain") == UNRESTORABLE).alias("lost"))
     )
-    return scratch.keep(records), shares, model_counts
+    return scratch.keep(records), shares, counts
 
 
-def restore(text: str, chain: str, model: Model) -> str:
-    """The text with the chain undone in every run that it makes likelier; other chains are undone
-    where they alone explain a run."""
+def restore(text: str, chains: dict[str, float], model: Model) -> str:
+    """Every run in the reading with the highest posterior.  ``chains``: the log odds of the record's
+    chains; a run of a record that went through a chain did so with even odds, any other with PRIOR."""
     if "&#" in text:
         text = REFERENCE.sub(_character, text)
     shown = [m.span() for m in QUOTED.finditer(text)] if "`" in text else []
+    top = max([0.0, *chains.values()])
+    total = math.exp(-top) + sum(math.exp(o - top) for o in chains.values())
+    shares = {c: 0.5 * math.exp(o - top) / total + PRIOR / 50 for c, o in chains.items()} | {NONE: 0.5}
     padded = f" {text} "
     out, last = [], 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(x <= a < y for x, y in shown):
+        if LOST in m[0] and len(m[0]) == 1 or any(x <= a < y for x, y in shown):
             continue
-        left, right = _plain(padded[a]), _plain(padded[b + 1])
-        own = model.likelihood(left + m[0] + right)
-        best = None
-        for name, fixed in restorations(m[0], right == " "):
-            gain = model.likelihood(left + fixed + right) - own
-            gain += SHAPES * (structure(left, fixed, right) - structure(left, m[0], right))
-            score = gain + (4.0 if name == chain else 0.0 if name.startswith(chain) or chain.startswith(name) else -4.0)
-            if gain > 0 and score > 0 and (best is None or score > best[0]):
-                best = (score, fixed)
-        if best:
+        unit = _plain(padded[a]) + m[0] + _plain(padded[b + 1])
+        best = max(((odd + _share(shares, chain), fixed) for chain, fixed, odd, _ in model.odds(unit)), default=(0.0, ""))
+        if best[0] > 0:
             out += [text[last:a], best[1]]
             last = b
     return "".join([*out, text[last:]])
 
 
-def restored(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, chain, log_odds, restorable, restored_text: the garbled records and their repair."""
-    records, _, counts = judge(documents, scratch)
+def restored(documents: DataFrame, scratch: Scratch, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """doc_id, field, chain, log_odds, restorable, restored_text: the garbled records and their repair."""
+    records, _, counts = judge(documents, scratch, fields)
+    schema = "doc_id bigint, field string, chain string, log_odds double, restorable boolean, restored_text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(counts)
         for batch in batches:
-            texts = [restore(t, c, model) for t, c in zip(batch["text"], batch["chain"])]
+            texts = [restore(t, dict(c), model) for t, c in zip(batch["text"], batch["chains"])]
             ok = [LOST not in t and t != o for t, o in zip(texts, batch["text"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "chain": batch["chain"], "log_odds": batch["log_odds"], "restorable": ok, "restored_text": texts})
+            yield batch[["doc_id", "field", "chain", "log_odds"]].assign(restorable=ok, restored_text=texts)
 
-    return (
-        documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-        .join(records.select("doc_id", "chain", "log_odds"), "doc_id")
-        .mapInPandas(run, "doc_id bigint, chain string, log_odds double, restorable boolean, restored_text string")
-    )
+    return fielded(documents, fields).drop("source").join(records.select("doc_id", "field", "chain", "log_odds", "chains"), ["doc_id", "field"]).mapInPandas(run, schema)

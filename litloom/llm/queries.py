@@ -110,7 +110,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 def p8_chain_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share of each encoding chain among the units of each source."""
     _, shares, _ = garbled.judge(table(spark, d, "documents"), Scratch(spark))
-    return shares.select("source", F.explode("shares").alias("chain", "share")).withColumn("share", F.round("share", 6))
+    return shares.select("source", "field", F.explode("shares").alias("chain", "share")).withColumn("share", F.round("share", 6))
 
 
 def queries() -> dict:
