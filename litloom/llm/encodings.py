@@ -149,7 +149,8 @@ def restorations(run: str, blank: bool = False) -> tuple[tuple[str, str], ...]:
 @lru_cache(maxsize=200_000)
 def kind(ch: str) -> str:
     """l/u ASCII letter, d digit, b blank, p ASCII mark; L/U other Latin letter, C/K Cyrillic, H common
-    and h other Chinese, q punctuation, r opening punctuation, s symbol, m combining mark, x never text, o the rest."""
+    and h other Chinese, q punctuation, r opening punctuation, s symbol, m combining mark, x never text, o other
+    scripts in wide use, y the rest."""
     code = ord(ch)
     if code < 128:
         return "l" if ch.islower() else "u" if ch.isupper() else "d" if ch.isdigit() else "b" if ch.isspace() else "p"
@@ -174,7 +175,9 @@ def kind(ch: str) -> str:
         if name.startswith("CYRILLIC"):
             # letters that Russian lacks come from wrong tables more often than from text
             return "k" if not ("а" <= ch.lower() <= "я" or ch in "ёЁ") else "K" if category == "Lu" else "C"
-        return "o"
+        return "o" if name.startswith(SCRIPTS) else "y"
+    if category[0] in "PSN" and 0x2800 <= code < 0x2E80:
+        return "y"
     if category[0] in "PSN" and not (code < 0x100 or 0x2000 <= code < 0x2600 or 0x3000 <= code < 0x3030 or 0xFF00 <= code):
         return "o"  # marks of other scripts
     if category in ("Ps", "Pi") or ch in "¿¡‚":
@@ -188,7 +191,8 @@ def kind(ch: str) -> str:
 
 _LATIN, _OTHER, _CYRILLIC = set("luLU"), set("LU"), set("CKk")
 _LETTER = set("luLUCKk")
-_ALONE = {"x": 6.0, "h": 1.5, "k": 1.0, "o": 1.0}
+_ALONE = {"x": 6.0, "h": 1.5, "k": 1.0, "o": 1.0, "y": 3.0}
+SCRIPTS = ("GREEK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "ARABIC", "HEBREW", "MODIFIER")
 
 
 @lru_cache(maxsize=20_000)
@@ -203,7 +207,9 @@ def _odd(a: str, b: str) -> float:
         cost += 3
     if a in _OTHER and b in "Hh" or b in _OTHER and a in "Hh":
         cost += 3
-    if a == "o" and b in _LETTER or b == "o" and a in _LETTER:
+    if a in "oy" and b in _LETTER or b in "oy" and a in _LETTER:
+        cost += 3
+    if a in _CYRILLIC and b in "Hh" or b in _CYRILLIC and a in "Hh":
         cost += 3
     if a == "s" and b in _LETTER or b == "s" and a in _LETTER:
         cost += 1.5

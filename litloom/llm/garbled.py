@@ -55,9 +55,10 @@ NONE, UNRESTORABLE = "none", "lost"
 #: Prior share of garbled units, weight of the shapes, most log odds of one unit that count, claims of
 #: the pooled shares for each source, probabilities of a unit of a garbled record to be garbled.
 PRIOR, SHAPES, MOST, POOLED, RATES = 0.05, 0.6, 15.0, 20.0, (0.01, 0.1, 0.5, 0.95)
-#: Movement of the pooled shares that ends the rounds, least gain in shape that speaks for a chain by
-#: itself, units whose odds a task remembers.
-TOLERANCE, GAIN, REMEMBERED = 1e-3, 0.5, 100_000
+#: Movement of the pooled shares that ends the rounds, least gain in shape of a reading and of one that
+#: speaks for a chain by itself, units whose odds a task remembers, garblings
+#: of one text.
+TOLERANCE, WORST, GAIN, REMEMBERED, DEPTH = 1e-3, -1.0, 0.5, 100_000, 5
 FLOOR = -12.0
 
 
@@ -89,10 +90,12 @@ def units_of(text: str) -> Counter:
 
 
 def readings(unit: str) -> list[tuple[str, str, float]]:
-    """(chain, restored run, gain in shape) of all chains that can have made the unit."""
+    """(chain, restored run, gain in shape) of all chains that can have made the unit.  What is sound as it
+    stands can be read as rubbish in many ways; a reading whose shapes are worse is not sound text."""
     left, run, right = unit[0], unit[1:-1], unit[-1]
     own = structure(left, run, right)
-    return [(chain, text, structure(left, text, right) - own) for chain, text in restorations(run, right == " ")]
+    each = [(chain, text, structure(left, text, right) - own) for chain, text in restorations(run, right == " ")]
+    return [reading for reading in each if reading[2] > WORST]
 
 
 def buckets(unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +119,10 @@ class Model:
                 self.known.clear()
             pair, first, second = buckets(unit)
             single = (self.counts[second] + 0.05) / (self.total + 0.05 * SINGLES)
-            each = np.log((self.counts[pair] + single) / (self.counts[first] + 1.0))
+            # a pair is no more frequent than its characters: without this, pairs that share a place lend
+            # their counts to characters that never occur
+            both = np.minimum(self.counts[pair], np.minimum(self.counts[first], self.counts[second]))
+            each = np.log((both + single) / (self.counts[first] + 1.0))
             self.known[unit] = float(np.maximum(each, FLOOR).sum())
         return self.known[unit]
 
@@ -145,12 +151,17 @@ def scan(texts: DataFrame) -> DataFrame:
     rest; 2: numbers of the rest by source and field."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _SCAN.split(", ")]
+        names, verdict = [c.split()[0] for c in _SCAN.split(", ")], {}
         for batch in batches:
             mine, sound, totals = Counter(), Counter(), Counter()
             for source, field, text in zip(batch["source"], batch["field"], batch["text"]):
                 for unit, n in units_of(text).items():
-                    if LOST in unit or restorations(unit[1:-1], unit[-1] == " "):
+                    bad = verdict.get(unit)
+                    if bad is None:
+                        if len(verdict) > REMEMBERED:
+                            verdict.clear()
+                        bad = verdict[unit] = LOST in unit or bool(readings(unit))
+                    if bad:
                         mine[source, field, unit] += n
                     else:
                         sound[unit] += n
@@ -229,8 +240,9 @@ def first_guess(unit: str) -> dict[str, tuple[str | None, float]]:
     if LOST in unit:
         return {UNRESTORABLE: (None, 1.0)}
     chain, text, gain = max(readings(unit), key=lambda r: r[2])
-    sound = 1 / (1 + math.exp(min(50.0, SHAPES * gain - 3))) if gain > 0 else 1.0
-    return {NONE: (unit[1:-1], sound), chain: (text, 1 - sound)}
+    sound = 1 / (1 + math.exp(min(50.0, SHAPES * gain - 3)))
+    # a frequent sound unit must not lend a share of its counts to characters that occur nowhere else
+    return {NONE: (unit[1:-1], sound), chain: (text, 1 - sound)} if sound < 0.5 else {NONE: (unit[1:-1], 1.0)}
 
 
 def posterior(model: Model, unit: str, shares: dict) -> dict[str, tuple[str | None, float]]:
@@ -373,7 +385,13 @@ def restored(documents: DataFrame, scratch: Scratch, fields: tuple[str, ...] = (
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(counts)
         for batch in batches:
-            texts = [restore(t, dict(c), model) for t, c in zip(batch["text"], batch["chains"])]
+            texts = []
+            for text, chains in zip(batch["text"], batch["chains"]):
+                for _ in range(DEPTH):  # what went through several chains comes back step by step
+                    before, text = text, restore(text, dict(chains), model)
+                    if text == before:
+                        break
+                texts.append(text)
             ok = [LOST not in t and t != o for t, o in zip(texts, batch["text"])]
             yield batch[["doc_id", "field", "chain", "log_odds"]].assign(restorable=ok, restored_text=texts)
 
