@@ -60,7 +60,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return names.author_profiles(names.spellings(table(spark, d, "dup_pairs_to_label")), Scratch(spark))
+    lists = table(spark, d, "dup_pairs_to_label")
+    return names.author_profiles(names.spellings(lists), Scratch(spark), names.aligned_names(lists))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
