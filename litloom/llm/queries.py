@@ -38,12 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each record that has a near-duplicate, with its class and its number of links."""
-    scratch = Scratch(spark)
-    pairs = scratch.keep(tokengroups.near_records(table(spark, d, "dedup_candidates"), scratch))
-    classes = stars.components(pairs, scratch, "record_a", "record_b")
-    ends = pairs.select(F.explode(F.array("record_a", "record_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    return classes.join(ends, "node").select(F.col("node").alias("record_id"), F.col("component").alias("group_id"), "links")
+    return tokengroups.near_groups(table(spark, d, "dedup_candidates"), Scratch(spark))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -135,6 +135,38 @@ def test_near_records_edges(spark):
     assert tokengroups.near_records(spark.createDataFrame([], schema), Scratch(spark)).count() == 0
 
 
+def test_near_groups_equal_the_components_of_all_pairs(spark):
+    rng = random.Random(14)
+    schema = "record_a string, title_a string, record_b string, title_b string, abstract_cosine double, body_ratio double"
+    base = ["graded annotation of scientific claims", "byte pair encoding for everyone else", "hybrid routing of village archives", "early exits in kitchen orders"]
+    titles = [t if k else t + rng.choice("xyz") for t in base for k in (0, 1, 1)]
+    rows = [(f"r{rng.randrange(40):02}", rng.choice(titles), f"r{rng.randrange(40):02}", rng.choice(titles), rng.choice([None, 0.9, 0.5]), None) for _ in range(50)]
+    rows += [("s1", "a title of its own here", "s2", "a title of its own here", 0.1, None), (None, None, "s3", None, None, None)]
+    frame = spark.createDataFrame(rows, schema)
+    pairs = tokengroups.near_records(frame, Scratch(spark))
+    want = {r.node: r.component for r in stars.components(pairs, Scratch(spark), "record_a", "record_b").collect()}
+    got = tokengroups.near_groups(frame, Scratch(spark)).collect()
+    assert {r.record_id: r.group_id for r in got} == want and len(got) == len(want) > 20
+    assert tokengroups.near_groups(frame.limit(0), Scratch(spark)).count() == 0
+
+
+def test_common_words(spark):
+    """Titles over few words, each held by very many titles, with one letter added or removed or words moved."""
+    rng = random.Random(15)
+    words = [f"{a}{b}" for a in ("answer", "speech", "data", "model", "semantic", "transform") for b in ("ing", "er", "ed", "s", "ation")]
+    titles = set()
+    while len(titles) < 900:
+        t = rng.sample(words, 7)
+        titles.add(" ".join(t))
+        w = rng.randrange(7)
+        other = [*t[:w], t[w][:-1] if rng.random() < 0.5 else t[w] + "x", *t[w + 1:]]
+        titles.add(" ".join(other if rng.random() < 0.7 else rng.sample(other, 7)))
+    want = {(a, b) for a, b in itertools.combinations(sorted(titles), 2) if len(a) * 1.3 > len(b) and len(b) * 1.3 > len(a) and title_ratio_of(a, b) >= 89}
+    got = {(r.title_a, r.title_b) for r in tokengroups.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), Scratch(spark)).collect()}
+    assert want <= got and len(want) > 400
+    assert all(title_ratio_of(a, b) >= 89 for a, b in got)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [("hub", f"n{i:03}") for i in range(300)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(60)] + [(rng.choice("xyz"), rng.choice("xyz")) for _ in range(6)] + [(None, "q"), ("s", "s")]
