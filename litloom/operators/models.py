@@ -7,7 +7,9 @@ need not be serialisable.  Asked prompts are keyed by md5: what is answered alre
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litloom.session import ship
+
 # How an abstaining answer begins, and the mark left where a citation was removed.
 ABSTAIN = "I could not find this in the papers"
 REMOVED = "[citation removed]"
@@ -34,9 +38,50 @@ class Replay:
         return self.replies[hashlib.md5(prompt.encode()).hexdigest()]
 
 
+class Refused(OSError):
+    """A host that is busy; ``after`` are the seconds it names, if any."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__("refused")
+        self.after = after
+
+
+class Patient:
+    """A client that tries again where its host fails: after the time that the host names, else after 1, 2,
+    4, ... seconds.  ``costs`` adds up what the replies cost, where the client tells."""
+
+    def __init__(self, client: Client, tries: int = 6, sleep: Callable[[float], None] = time.sleep):
+        self.client, self.tries, self.sleep, self.costs = client, tries, sleep, 0.0
+
+    def ask(self, prompt: str) -> str:
+        for i in range(self.tries):
+            try:
+                reply = self.client.ask(prompt)
+                self.costs += getattr(self.client, "cost", 0.0)
+                return reply
+            except OSError as e:
+                if i + 1 == self.tries:
+                    raise
+                after = getattr(e, "after", None)
+                self.sleep(2.0**i if after is None else after)
+        raise AssertionError("not reached")
+
+
+def is_json(reply: str) -> bool:
+    """Whether a reply is JSON, with or without a code fence around it."""
+    bare = re.sub(r"\s*```$", "", re.sub(r"^```[a-z]*\s*", "", (reply or "").strip()))
+    try:
+        json.loads(bare)
+    except ValueError:
+        return False
+    return True
+
+
 def ask_missing(todo: DataFrame, done: DataFrame, client: Callable[[], Client], accept: Callable[[str], bool] = bool, tries: int = 2, failed: str = "") -> DataFrame:
     """todo: key, prompt; done: key -> key, reply for keys not done.  A reply that is not accepted is
-    asked for again; after ``tries`` the row carries ``failed``.  NULL prompts are not asked."""
+    asked for again; after ``tries`` the row carries ``failed``, as it does where a patient client gives
+    up.  NULL prompts are not asked.  Write the result before using it twice: it is asked anew otherwise."""
+    ship(todo.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
@@ -65,42 +110,6 @@ def contexts(ranked: DataFrame, k: int) -> DataFrame:
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("context"))
 
 
-_MARK = re.compile(r"\[(\d+(?:\s*,\s*\d+)*)\]")
-
-
-def check_citations(raw: str, n: int) -> tuple[str, list[int], list[int], list[str]]:
-    """(text, cited, invalid, uncited sentences) of an answer with n sources.
-
-    A mark after the end of a sentence moves before it.  Numbers out of range are removed; a text that
-    lost one is marked once.  A sentence of more than four words that is neither a question nor the
-    abstaining sentence should cite."""
-    moved = re.sub(r"([.!?])((?:\s*\[\d+(?:\s*,\s*\d+)*\])+)", lambda m: " " + m[2].strip() + m[1], raw)
-    cited, invalid = set(), set()
-
-    def keep(m) -> str:
-        numbers = [int(x) for x in m[1].split(",")]
-        good = [x for x in numbers if 1 <= x <= n]
-        cited.update(good)
-        invalid.update(x for x in numbers if x not in good)
-        return "[" + ", ".join(map(str, good)) + "]" if good else ""
-
-    text = re.sub(r"[ \t]+([.!?,])|[ \t]{2,}", lambda m: m[1] or " ", _MARK.sub(keep, moved)).strip()
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s]
-    uncited = [s for s in sentences if len(s.split()) > 4 and not s.endswith("?") and ABSTAIN not in s and not re.search(r"\[\d", s)]
-    return text + (" " + REMOVED if invalid else ""), sorted(cited), sorted(invalid), uncited
-
-
-_CHECKED = "struct<text string, cited array<int>, invalid array<int>, uncited array<string>>"
-
-
-def checked(raw: Column, n: Column) -> Column:
-    @F.pandas_udf(_CHECKED)
-    def check(texts: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check_citations(t or "", int(c or 0)) for t, c in zip(texts, counts)], columns=["text", "cited", "invalid", "uncited"])
-
-    return check(raw, n)
-
-
 def pool(lists: list[DataFrame], depth: int, judged: DataFrame) -> DataFrame:
     """query_id, doc_id of the union of the lists' top rows that are not judged yet."""
     every = lists[0].filter(F.col("rank") <= depth).select("query_id", "doc_id")

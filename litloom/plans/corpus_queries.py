@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litloom.functions import text as T
+from litloom.operators import answers as A
 from litloom.operators import documents as D
 from litloom.operators import filters, models
 from litloom.plans.catalogue import query
@@ -137,7 +138,7 @@ _MARKED = "text || ' [1] and [' || (item_id % 5) || ', 9].'"
 SELECT item_id, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 3), ' ') AS cited, array_to_string(list_filter(n, lambda x: NOT x BETWEEN 1 AND 3), ' ') AS invalid FROM c""")
 def citation_check(spark, d):
     marked = F.concat("text", F.lit(" [1] and ["), F.col("item_id") % 5, F.lit(", 9]."))
-    checked = table(spark, d, "eval_items").select("item_id", models.checked(marked, F.lit(3)).alias("c"))
+    checked = table(spark, d, "eval_items").select("item_id", A.citations(marked, F.lit(3)).alias("c"))
     return checked.select("item_id", F.array_join("c.cited", " ").alias("cited"), F.array_join("c.invalid", " ").alias("invalid"))
 
 

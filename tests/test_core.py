@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litloom.functions import fuzzy
 from litloom.functions import text as T
 from litloom.operators import documents as D
-from litloom.operators import filters, identity, models, retrieval, statistics
+from litloom.operators import answers, collection, filters, identity, models, retrieval, statistics
 from litloom.session import Scratch
 from litloom.sources import files
 
@@ -106,12 +106,111 @@ def test_decide_and_agreement(spark):
     assert 0.44 < r.low < 0.46 and 0.93 < r.high < 0.95
 
 
-def test_citations():
-    text, cited, invalid, _ = models.check_citations("BPE merges pairs of symbols. [1] It is old [9].", 3)
-    assert cited == [1] and invalid == [9] and text.startswith("BPE merges pairs of symbols [1].") and text.count(models.REMOVED) == 1
-    assert models.check_citations("a [2][3] b [1, 3].", 3)[1] == [1, 2, 3]
-    assert models.check_citations("This sentence has no citation at all.", 2)[3] == ["This sentence has no citation at all."]
-    assert models.check_citations("", 0) == ("", [], [], [])
+def test_citations(spark):
+    cases = [
+        ("BPE merges pairs of symbols. [1] It is old [9].", 3, "BPE merges pairs of symbols [1]. It is old [citation removed].", [1], [9], ["It is old [citation removed]."]),
+        ("a [2][3] b [1, 3].", 3, "a [2][3] b [1, 3].", [1, 2, 3], [], []),
+        ("This sentence has no citation at all.", 2, "This sentence has no citation at all.", [], [], ["This sentence has no citation at all."]),
+        ("", 0, "", [], [], []), (None, None, "", [], [], []),
+        ("One fact here [7, 1]!\n\nAnother  fact [8] there [8]? Yes.", 2, "One fact here [1] [citation removed]!\n\nAnother  fact there [citation removed]? Yes.", [1], [7, 8, 8], []),
+        (f"{models.ABSTAIN}. Is this one then a question? Two words. [2]", 2, f"{models.ABSTAIN}. Is this one then a question? Two words [2].", [2], [], []),
+    ]
+    frame = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, raw string, n int")
+    got = frame.select("i", answers.citations(F.col("raw"), F.coalesce("n", F.lit(0))).alias("c")).orderBy("i").select("c.*").collect()
+    for row, case in zip(got, cases):
+        assert row[:] == case[2:], (row, case)
+
+
+KEYED = ("i", "m", "r")
+
+
+def test_sheet_alignment_and_judgments(spark):
+    frame = spark.createDataFrame([(*KEYED, "First one [1]. Second one! Third\n\nSources:\n[1] x."), ("e", "m", "r", ""), ("n", "m", "r", None)], "id string, model string, retriever string, answer string")
+    sheet = answers.sentence_sheet(frame).orderBy("sentence_no").collect()
+    assert [(r.sentence_no, r.sentence, r.cited) for r in sheet] == [(1, "First one [1].", "[1]"), (2, "Second one!", ""), (3, "Third", "")]
+    human = "id string, model string, retriever string, sentence_no int, sentence string, human string"
+    judge = "id string, model string, retriever string, pos int, text string, verdict string"
+    humans = [(*KEYED, 1, "x", "Supported "), (*KEYED, 2, "y", "-"), ("b", "m", "r", 1, "the second sentence", "partial"), ("b", "m", "r", 2, "quite another thing", "supported"), ("c", "m", "r", 1, "z", "partial")]
+    judged = [(*KEYED, 1, "q", "supported"), (*KEYED, 2, "w", "partial"), ("b", "m", "r", 1, "the first sentence", "supported"), ("b", "m", "r", 2, "the second sentence.", "unsupported"), ("b", "m", "r", 3, "a third", "partial")]
+    both = answers.aligned(spark.createDataFrame(humans, human), spark.createDataFrame(judged, judge))
+    assert {(r.id, r.sentence_no): r.verdict for r in both.collect()} == {("i", 1): "supported", ("i", 2): "partial", ("b", 1): "unsupported", ("b", 2): None, ("c", 1): None}
+    pairs, left = answers.labelled_pairs(both)
+    assert sorted(r[:] for r in pairs.collect()) == [("partial", "unsupported"), ("supported", "supported")] and left.first().unaligned == 2
+
+
+class Scripted:
+    def ask(self, prompt):
+        return {"good": '```json\n{"correctness": "correct"}\n```', "bad": "no JSON"}[prompt]
+
+
+def test_judging_and_patience(spark):
+    frame = spark.createDataFrame([("1", "good", False), ("2", "bad", False), ("3", None, True), ("4", "good", False)], "key string, prompt string, abstained boolean")
+    done = spark.createDataFrame([("4", False), ("1", True)], "key string, unjudged boolean")
+    got = {r.key: (r.unjudged, r.judgment and r.judgment.correctness) for r in answers.judged(frame, done, Scripted, "struct<correctness string>").collect()}
+    assert got == {"1": (False, "correct"), "2": (True, None), "3": (False, None)}
+
+    class Busy:
+        cost, left = 0.5, 3
+
+        def ask(self, prompt):
+            self.left -= 1
+            if self.left:
+                raise models.Refused(7.0 if self.left == 1 else None)
+            return "x"
+
+    slept = []
+    patient = models.Patient(Busy(), sleep=slept.append)
+    assert patient.ask("p") == "x" and slept == [1.0, 7.0] and patient.costs == 0.5
+    with pytest.raises(OSError):
+        models.Patient(Busy(), tries=2, sleep=slept.append).ask("p")
+
+
+def test_run_set_answers_parents_of_other_splits(spark):
+    rows = [("p1", "dev", None, "P1"), ("f1", "test", "p1", "F1"), ("q1", "test", None, "Q1"), ("f2", "test", "p2", "F2"), ("p2", "dev", None, "P2"), ("q2", "test", None, "Q2")]
+    questions = spark.createDataFrame(rows, "id string, split string, parent_id string, text string")
+    recorded = spark.createDataFrame([("p2", "old"), ("q2", "old")], "id string, answer string")
+    reply = lambda todo: todo.select("id", F.concat(F.coalesce("history", F.lit("")), F.lit("|"), "text").alias("answer"))
+    got = {r.id: r.answer for r in answers.run_set(questions, recorded, "test", reply).collect()}
+    assert got == {"q1": "|Q1", "f1": "user: P1\nassistant: |P1|F1", "f2": "user: P2\nassistant: old|F2"}
+
+
+def test_verified_quotes(spark):
+    quotes = spark.createDataFrame([("d", 1, "gold quote text", "A"), ("d", 2, "only in the other", "A"), ("d", 3, "nowhere to be seen 123456", "A")], "doc string, no int, quote string, section string")
+    sections = spark.createDataFrame([("d", "A", "here the gold quote text stands"), ("d", "B", "gold quote text; it is only in the other section")], "doc string, path string, text string")
+    got = {r.no: (r.section, r.score >= 90) for r in answers.verified(quotes, sections).collect()}
+    assert got[1] == ("A", True) and got[2] == ("B", True) and not got[3][1]
+    kept, dropped = answers.kept_questions(answers.verified(quotes, sections))
+    assert kept.count() == 2 and dropped.first().dropped == 1
+    themes = spark.createDataFrame([("t", "w1", 95.0), ("t", "w2", 91.0), ("u", "w1", 95.0), ("u", "w2", 80.0)], "theme string, work string, score double")
+    assert [r[:] for r in answers.themed(themes).collect()] == [("t", 2)]
+
+
+def test_composed_answers(spark):
+    replies = spark.createDataFrame([(1, " Pairs merge often here [2]. ", 2), (2, f'"{models.ABSTAIN}."', 2)], "id int, raw string, n int")
+    sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (2, 1, "One")], "id int, n int, label string")
+    got = {r.id: (r.text, r.abstained) for r in answers.composed(replies, sources).collect()}
+    assert got == {1: ("Pairs merge often here [2].\n\nSources:\n[2] Two", False), 2: (f'"{models.ABSTAIN}."', True)}
+
+
+def test_metrics_and_failures(spark):
+    S = "array<struct<text string, factual boolean, verdict string, cited array<int>, source int>>"
+    schema = f"id string, model string, retriever string, type string, abstained boolean, gate_abstained boolean, invalid array<int>, cost double, latency double, correctness string, sentences {S}, answer string, reasoning string, gold array<string>, sources array<string>"
+    rows = [
+        ("1", "m", "r", "factual", False, False, [9], 0.1, 1.0, "correct", [("a", True, "supported", [1, 2], 1), ("b", False, None, [], None)], "A", "", ["w1"], ["w1", "w2"]),
+        ("2", "m", "r", "multi", False, False, [], 0.2, 3.0, "wrong", [("c", True, "unsupported", [], None), ("d", True, "partial", [3], 3)], "B", "because", ["w9"], ["w1"]),
+        ("3", "m", "r", "unanswerable", True, True, [], 0.0, 0.5, "not_applicable", [], "", None, [], []),
+        ("4", "m", "r", "unanswerable", False, False, [], 0.1, 2.0, "correct", [("e", True, "supported", [1], 1)], "C\n\nSources:\n[1] x", None, [], ["w1"]),
+        ("5", "m", "r", "factual", True, False, [], 0.0, 9.0, None, None, "", None, ["w1"], []), ("6", "m", "r", "factual", False, False, [], 0.2, 4.0, None, None, "D", None, None, ["w1"]),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    r = answers.metrics(frame).first().asDict()
+    want = {"n": 6, "fully_grounded_rate": 0.3333, "sentence_support_rate": 0.5, "partial_rate": 0.25, "citation_precision": 0.5, "citation_coverage": 0.75, "correctness_correct": 0.5,
+            "correctness_partial": 0.0, "unanswerable_n": 2, "abstained_on_unanswerable": 1, "answered_unanswerable": 1, "answerable_n": 4, "abstained_on_answerable": 1, "answered_answerable": 3,
+            "abstention_recall": 0.5, "false_abstention_rate": 0.25, "abstention_f1": 0.5, "gate_abstentions": 1, "invalid_citations_total": 1, "unjudged": 1, "cost_per_answer": 0.1, "p50_latency_s": 2.5}
+    assert {k: r[k] for k in want} == want and len(r) == 24
+    assert {(x.id, x.category, x.evidence) for x in answers.failures(frame).collect()} == {
+        ("1", "invalid_citation", "[9]"), ("2", "unsupported_sentence", "c"), ("2", "retrieval_miss", "w9"), ("2", "wrong_answer", "because"), ("4", "missed_abstention", "C"), ("5", "false_abstention", "model"), ("5", "retrieval_miss", "w1"),
+    }
 
 
 def test_parsing_and_chunks():
