@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The words left out of lexical overlap.
-OVERLAP_STOP = ("a an and are as at be by do does for from how in is it of on or that the to what when which with").split()
+OVERLAP_STOP = "a an the of to in on for and or is are be by with as it this that what which how why does do".split()
 
 
 def clean_space(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litloom.functions import text as T
+from litloom.functions.fuzzy import ratio
+from litloom.session import ship
 
 # The target and the limit of a chunk, and the words below which a section joins the next.
 TARGET, LIMIT, SHORT = 350, 480, 40
-PARSED = "struct<title string, sections array<struct<path string, level int, paragraphs array<string>, tables array<array<array<string>>>, captions array<string>>>, references int, errors int, words int>"
+PARSED = "struct<title string, sections array<struct<path string, level int, paragraphs array<string>, tables array<struct<caption string, rows array<array<string>>>>, captions array<string>>>, references int, errors int, words int>"
 _SKIP = {"script", "style", "nav", "head", "noscript", "template", "footer", "aside"}
 _DROPPED = re.compile(r"ltx_bibliography|ltx_note|ltx_acknowledgement|\bad\b|\bads\b|advert")
 _VOID = {"br", "img", "hr", "meta", "link", "input", "wbr", "source", "col", "area", "base"}
@@ -29,6 +32,7 @@ class _Page(HTMLParser):
         self.skip, self.open, self.kind, self.held = 0, [], None, []
         self.references = self.errors = self.figures = 0
         self.table: list | None = None
+        self.caption, self.boxed = "", 0
         self.begin("", 1)
 
     def begin(self, path: str, level: int) -> None:
@@ -49,7 +53,10 @@ class _Page(HTMLParser):
         elif kind in ("td", "th") and self.table is not None:
             self.table[-1].append(text)
         elif kind in ("caption", "figcaption"):
-            here["captions"].append(text)
+            if self.table is not None or self.boxed:  # it belongs to the table around or beside it
+                self.caption = text
+            else:
+                here["captions"].append(text)
         elif kind in ("p", "li"):
             here["paragraphs"].append(text)
 
@@ -75,6 +82,10 @@ class _Page(HTMLParser):
         if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "caption", "figcaption"):
             self.flush()
             self.kind = tag
+        elif tag == "figure":
+            self.flush()
+            if "ltx_table" in classes.split():
+                self.boxed = len(self.open)
         elif tag == "table":
             self.flush()
             self.table = []
@@ -92,8 +103,17 @@ class _Page(HTMLParser):
             elif last == self.kind:
                 self.flush()
             if last == "table" and self.table is not None and not self.skip:
-                self.sections[-1]["tables"].append([r for r in self.table if r])
-                self.table = None
+                self.flush()
+                self.sections[-1]["tables"].append({"caption": self.caption, "rows": [r for r in self.table if r]})
+                self.table, self.caption = None, ""
+            if self.boxed > len(self.open):  # the end of a box: a caption below the table is the table's
+                self.flush()
+                tables = self.sections[-1]["tables"]
+                if self.caption and tables and not tables[-1]["caption"]:
+                    tables[-1]["caption"] = self.caption
+                elif self.caption:
+                    self.sections[-1]["captions"].append(self.caption)
+                self.boxed, self.caption = 0, ""
             if last == tag:
                 break
 
@@ -117,8 +137,12 @@ def parse_html(html: str | None) -> dict:
     page.close()
     page.flush()
     sections = [s for s in page.sections if s["paragraphs"] or s["tables"] or s["captions"]]
-    texts = [t for s in sections for t in [*s["paragraphs"], *s["captions"], *[c for table in s["tables"] for row in table for c in row]]]
-    return {"title": page.title, "sections": sections, "references": page.references, "errors": page.errors, "words": sum(len(t.split()) for t in texts)}
+    return {"title": page.title, "sections": sections, "references": page.references, "errors": page.errors, "words": sum(len(t.split()) for s in sections for t in _texts(s))}
+
+
+def _texts(section: dict) -> list[str]:
+    """All text of a section: paragraphs, captions, tables with their captions."""
+    return [*section["paragraphs"], *section["captions"], *[t for x in section["tables"] for t in [x["caption"], *[c for row in x["rows"] for c in row]]]]
 
 
 def parse_markdown(text: str | None) -> dict:
@@ -136,7 +160,8 @@ def parse_markdown(text: str | None) -> dict:
             sections[-1]["paragraphs"].append(joined)
         rows = [[c.strip() for c in r.strip().strip("|").split("|")] for r in table if not re.fullmatch(r"[|\s:\-]+", r)]
         if rows:
-            sections[-1]["tables"].append(rows)
+            caption = sections[-1]["captions"].pop() if sections[-1]["captions"] and sections[-1]["captions"][-1].startswith("Table") else ""
+            sections[-1]["tables"].append({"caption": caption, "rows": rows})
         block, table = [], []
 
     for line in (text or "").split("\n"):
@@ -159,7 +184,7 @@ def parse_markdown(text: str | None) -> dict:
             close()
     close()
     kept = [s for s in sections if s["paragraphs"] or s["tables"] or s["captions"]]
-    words = sum(len(t.split()) for s in kept for t in [*s["paragraphs"], *s["captions"], *[c for tb in s["tables"] for r in tb for c in r]])
+    words = sum(len(t.split()) for s in kept for t in _texts(s))
     return {"title": "", "sections": kept, "references": dropped, "errors": 0, "words": words}
 
 
@@ -173,24 +198,92 @@ def parse_pages(pages: DataFrame, column: str, parser=parse_html) -> DataFrame:
     return pages.withColumn("parsed", parse(F.col(column)))
 
 
-def validity(parsed: Column, least_words: int = 1500, least_sections: int = 2) -> Column:
-    """Why a page is no full text; empty if it is one."""
-    sections = F.size(F.filter(parsed["sections"], lambda s: s["path"] != ""))
+def _of_class(html: Column, name: str) -> Column:
+    """How many elements carry the class."""
+    return F.size(F.regexp_extract_all(html, F.lit(rf"""class\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?')"""), F.lit(0)))
+
+
+def page_reason(html: Column, least_words: int = 1500, least_sections: int = 2) -> Column:
+    """Why a page is no full text, '' if it is one: six checks, the first that fails.  NULL pages have no
+    main part."""
+    page = F.coalesce(html, F.lit(""))
+    title = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    inner = F.regexp_extract(page, r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)
+    text = F.regexp_replace(F.regexp_replace(inner, r"(?is)<(script|style|template)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     return (
-        F.when(parsed["title"] == "", "no_title").when(F.size(parsed["sections"]) == 0, "no_text").when(sections < least_sections, "too_few_sections")
-        .when(parsed["words"] < least_words, "too_short").when(parsed["errors"] > 50, "conversion_errors").otherwise("")
+        F.when(title.contains("No content available"), "no content").when(page.contains("ar5iv-severity-fatal"), "fatal conversion error")
+        .when(_of_class(page, "ltx_missing") > 0, "missing element").when(_of_class(page, "ltx_page_main") == 0, "no main part")
+        .when(T.word_count(text) < least_words, "too few words").when(_of_class(page, "ltx_section") < least_sections, "too few sections").otherwise("")
     )
 
 
+def body_size(parsed: Column) -> Column:
+    """Characters of all paragraphs, captions, table captions and cells, one between any two."""
+    texts = F.flatten(F.transform(parsed["sections"], lambda s: F.concat(
+        s["paragraphs"], s["captions"], F.flatten(F.transform(s["tables"], lambda t: F.concat(F.array(t["caption"]), F.flatten(t["rows"])))))))
+    return F.coalesce(F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t)) + F.greatest(F.lit(0), F.size(texts) - 1), F.lit(0))
+
+
 def better_parse(first: Column, second: Column) -> Column:
     """``first``, ``second`` or ``failed``: a poor parse (under 3 sections or 5,000 characters) gives way
     to a longer one, and fails if what remains is poor."""
-    size = lambda p: F.aggregate(F.flatten(F.transform(p["sections"], lambda s: s["paragraphs"])), F.lit(0), lambda n, t: n + F.length(t))
-    poor = lambda p: (F.size(p["sections"]) < 3) | (size(p) < 5000)
-    swap = poor(first) & (size(second) > size(first))
+    poor = lambda p: (F.size(p["sections"]) < 3) | (body_size(p) < 5000)
+    swap = poor(first) & (body_size(second) > body_size(first))
     return F.when(swap, F.when(poor(second), "failed").otherwise("second")).otherwise(F.when(poor(first), "failed").otherwise("first"))
 
 
+def budgeted(parts: Column, words: int) -> Column:
+    """The parts that hold words, up to the one that reaches the budget, which is cut to what is left."""
+    kept = F.filter(F.transform(parts, T.clean_space), lambda p: p != "")
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        cut = F.slice(F.split(p, " "), F.lit(1), F.greatest(F.lit(1), words - acc["n"]))
+        more = F.struct(F.concat(acc["out"], F.array(F.array_join(cut, " "))).alias("out"), (acc["n"] + F.size(F.split(p, " "))).alias("n"))
+        return F.when(acc["n"] >= words, acc).otherwise(more)
+
+    return F.aggregate(kept, empty, step)["out"]
+
+
+_REFERENCE = re.compile(r"\(\d{4}[a-z]?\)|\b(?:19|20)\d{2}[a-z]?\.|^\[\d+\]", re.M)
+_HEAD = re.compile(r"(?i)^(appendix\s+)?([a-z]|\d+)(\.\d+)*\.?\s+")
+
+
+def heading_f1(first: dict, second: dict, same: float = 85.0) -> float:
+    """F1 of the section headings of two parses, alike from a ratio of ``same``; 0 where either has none."""
+    a, b = ([_HEAD.sub("", s["path"].split(" > ")[-1]).lower() for s in p["sections"]] for p in (first, second))
+    if not a or not b:
+        return 0.0
+    hits = lambda xs, ys: sum(any(ratio(x, y) >= same for y in ys) for x in xs) / len(xs)
+    precision, recall = hits(b, a), hits(a, b)
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+
+
+def word_recall(first: dict, second: dict) -> float:
+    """The share of the first parse's words, with their numbers, that the second holds."""
+    a, b = (Counter(re.findall(r"\w+", "\n".join(t for s in p["sections"] for t in _texts(s)).lower())) for p in (first, second))
+    return sum((a & b).values()) / a.total() if a else 0.0
+
+
+def compared(both: DataFrame, key: str) -> DataFrame:
+    """both: key, first, second (parses) -> tag, first_sections, second_sections, heading_f1, word_recall,
+    references_excluded: a row for each document and one for the means."""
+    schema = "tag string, first_sections double, second_sections double, heading_f1 double, word_recall double, references_excluded double"
+    ship(both.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for k, a, b in zip(batch[key], map(_plain, batch["first"]), map(_plain, batch["second"])):
+                clean = not any(len(_REFERENCE.findall(" ".join(s["paragraphs"]))) >= 3 for s in b["sections"])
+                out.append((str(k), float(len(a["sections"])), float(len(b["sections"])), round(heading_f1(a, b), 3), round(word_recall(a, b), 3), float(clean)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = both.select(key, "first", "second").mapInPandas(run, schema)
+    mean = rows.agg(F.lit("mean").alias("tag"), *[F.round(F.avg(c), 3).alias(c) for c in rows.columns[1:]])
+    return rows.unionByName(mean)
+
+
 def packed(units: Column, target: int = TARGET, separator: str = "\n") -> Column:
     """Greedy packing of units of text by token count: a unit starts a new chunk where the target would
     be passed; the first unit of a chunk is always taken.  A fold inside generated code.
@@ -249,12 +342,12 @@ def chunks_of(parsed: dict, abstract: str | None = None, target: int = TARGET, l
                 units += [p] if _count(p) <= limit else [h for piece in _pack(_SENTENCE.split(p), target, " ") for h in halves(piece, limit)]
             out += [(s["path"], "text", t) for t in _pack(units, target, "\n")]
             carried = []
-        for table, caption in zip(s["tables"], [*s["captions"], *[""] * len(s["tables"])]):
-            rows = [" | ".join(r) for r in table]
-            head = "\n".join(x for x in (caption, rows[0] if rows else "") if x)
+        for table in s["tables"]:
+            rows = [" | ".join(r) for r in table["rows"]]
+            head = "\n".join(x for x in (table["caption"], rows[0] if rows else "") if x)
             body = _pack(rows[1:], target, "\n", head + "\n") if len(rows) > 1 else [head]
             out += [(s["path"], "table", t) for t in body if t]
-        out += [(s["path"], "caption", c) for c in s["captions"][len(s["tables"]):]]
+        out += [(s["path"], "caption", c) for c in s["captions"]]
     return out
 
 
@@ -278,7 +371,7 @@ def _plain(parsed) -> dict:
     parsed = parsed.asDict(True) if hasattr(parsed, "asDict") else parsed
     fix = lambda s: s.asDict(True) if hasattr(s, "asDict") else dict(s)
     return {"sections": [
-        {"path": s["path"], "paragraphs": list(s["paragraphs"]), "captions": list(s["captions"]), "tables": [[list(r) for r in t] for t in s["tables"]]}
+        {"path": s["path"], "paragraphs": list(s["paragraphs"]), "captions": list(s["captions"]), "tables": [{"caption": t["caption"], "rows": [list(r) for r in t["rows"]]} for t in map(fix, s["tables"])]}
         for s in map(fix, parsed["sections"])
     ]}
 

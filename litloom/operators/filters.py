@@ -58,6 +58,31 @@ def seeded_split(rows: DataFrame, key: str, seed: int = 13) -> DataFrame:
     return rows.withColumn("half", F.when(F.substring(hash_order(seed, F.col(key)), 1, 1) < "8", "dev").otherwise("test"))
 
 
+def seeded_halves(rows: DataFrame, key: str, seed: int = 13) -> DataFrame:
+    """half: the first n // 2 of the distinct keys in seeded order are ``dev``, the rest ``test``.  Places are
+    counted within groups of hashes, so that no task holds all keys."""
+    order = hash_order(seed, F.col(key))
+    placed = rows.withColumn("_h", order).withColumn("_g", F.substring("_h", 1, 3))
+    sizes = placed.groupBy("_g").agg(F.count(F.lit(1)).alias("_k"))
+    before = sizes.select(  # one row for each of at most 4,096 groups
+        "_g", F.coalesce(F.sum("_k").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_k").over(Window.partitionBy(F.lit(1))).alias("_n")
+    )
+    place = F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("_h", key))
+    return placed.join(before, "_g").withColumn("half", F.when(place <= F.floor(F.col("_n") / 2), "dev").otherwise("test")).select(*rows.columns, "half")
+
+
+def cap_flags(rows: DataFrame, tier: Column, key: str, reason: str, n: int, seed: int = 13, flag: str = "corpus_cap") -> DataFrame:
+    """Sets ``reason`` to the flag on all but the first n rows by tier and seeded order, and clears it on
+    these.  The last row within the cap is found by a take-ordered; every row is compared with it, so
+    nothing is joined."""
+    ranked = rows.withColumn("_tier", tier).withColumn("_hash", hash_order(seed, F.col(key)))
+    place = F.struct("_tier", "_hash", F.col(key).alias("_key"))
+    edge = ranked.orderBy("_tier", "_hash", key).limit(n).agg(F.max(place).alias("_edge"))
+    kept = F.coalesce(place <= F.col("_edge"), F.lit(False))
+    cleared = F.when(F.col(reason) == flag, "").otherwise(F.col(reason))
+    return ranked.join(F.broadcast(edge), how="cross").withColumn(reason, F.when(kept, cleared).otherwise(flag)).select(*rows.columns)
+
+
 def capped(rows: DataFrame, tier: Column, key: str, n: int, seed: int = 13) -> DataFrame:
     """The first n rows by tier, then in hash order.  A take-ordered: n rows of each partition move."""
     return rows.withColumn("tier", tier).orderBy("tier", hash_order(seed, F.col(key)), key).limit(n)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litloom.session import Scratch
+from litloom.functions import fuzzy
+from litloom.functions import text as T
+from litloom.session import Scratch, ship
 
 # The thresholds of the default rule, and the grid that is swept.
 TITLE, AUTHOR, COSINE, RELATED = 92.0, 0.5, 0.85, 0.6
@@ -75,13 +82,17 @@ def canonical_key(source: Column, status: Column, version: Column, record: Colum
 
 
 def canonical_flags(records: DataFrame) -> DataFrame:
-    """records: work_id, record_id, source, status, version, reason -> canonical, in_index and why not."""
+    """records: work_id, record_id, source, status, version, reason[, duplicate_of] -> canonical, in_index, why
+    not, and what it is a duplicate of: copies that were fetched as such keep theirs, the rest name the
+    canonical record."""
     key = canonical_key(F.col("source"), F.col("status"), F.col("version"), F.col("record_id"))
     first = records.groupBy("work_id").agg(F.min(key).alias("k")).select("work_id", F.col("k.record_id").alias("head"))
     full, is_head = F.coalesce(F.col("status").isin("html", "ar5iv", "pdf"), F.lit(False)), F.col("record_id") == F.col("head")
     cap = F.coalesce(F.col("reason") == "corpus_cap", F.lit(False))
+    own = F.nullif(F.trim("duplicate_of"), F.lit("")) if "duplicate_of" in records.columns else F.lit(None).cast("string")
+    kept = F.when(F.col("source").isin("arxiv_v1", "acl_copy"), own)
     return records.join(first, "work_id").select(
-        "work_id", "record_id", is_head.alias("canonical"), (is_head & full & ~cap).alias("in_index"),
+        "work_id", "record_id", is_head.alias("canonical"), (is_head & full & ~cap).alias("in_index"), F.when(is_head, "").otherwise(F.coalesce(kept, "head")).alias("duplicate_of"),
         F.when(~is_head, F.concat(F.lit("duplicate_of:"), "head")).when(cap, "corpus_cap").when(~full, "no_fulltext").otherwise("").alias("not_indexed_reason"),
     )
 
@@ -122,3 +133,81 @@ def similar_titles(titles: DataFrame, scratch: Scratch, least: float = 0.6) -> D
     pairs = left.join(right, "w").filter(fits).select("a", "b").distinct()
     x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
     return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("x", "y")) >= F.size(F.array_union("x", "y")) * least).select("a", "b")
+
+
+def work_groups(records: DataFrame, merged: DataFrame, scratch: Scratch) -> DataFrame:
+    """records: record_id, source and identifiers; merged: a, b of the pairs that are one work -> record_id,
+    component, work_id: the closure of identifiers and merged pairs together."""
+    edges = identifier_edges(records).unionByName(merged.select("a", "b").filter("a <> b")).distinct()
+    groups = scratch.keep(components(records.select(F.col("record_id").alias("node")), edges, scratch).select(F.col("node").alias("record_id"), "component"))
+    named = work_ids(groups.join(records.select("record_id", "source", "arxiv_id"), "record_id"))
+    return groups.join(named, "component")
+
+
+def pair_features(pairs: DataFrame, records: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs: a, b; records: record_id, title, authors, body_words; vectors: record_id, embedding (unit length) ->
+    a, b, title_ratio, author_jaccard, abstract_cosine and body_ratio (NULL where a side has none)."""
+    side = lambda k: records.select(F.col("record_id").alias(k), F.col("title").alias(f"t_{k}"), T.surnames(F.col("authors")).alias(f"s_{k}"), F.col("body_words").alias(f"w_{k}")).join(
+        vectors.select(F.col("record_id").alias(k), F.col("embedding").cast("array<double>").alias(f"v_{k}")), k, "left")
+    rows = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    dot = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    return rows.select(
+        "a", "b", F.coalesce(fuzzy.fuzz_title_ratio(F.coalesce("t_a", F.lit("")), F.coalesce("t_b", F.lit(""))), F.lit(0.0)).alias("title_ratio"), T.jaccard(F.col("s_a"), F.col("s_b")).alias("author_jaccard"),
+        F.round(dot, 4).alias("abstract_cosine"), T.length_ratio(F.col("w_a"), F.col("w_b")).alias("body_ratio"),
+    )
+
+
+_TITLE_BLOCK, _LETTERS, _WORDS = 1024, "abcdefghijklmnopqrstuvwxyz0123456789 ", 512
+
+
+class _Titles:
+    """A block of titles as counts of letters and of hashed words, weighed by their length."""
+
+    def __init__(self, titles: list[str]):
+        self.size = np.array([len(t) for t in titles], np.float32)
+        self.letters = np.array([[t.count(ch) for ch in _LETTERS] for t in titles], np.float32).reshape(len(titles), -1)
+        self.words = np.zeros((len(titles), _WORDS), np.float32)
+        self.held = np.zeros((len(titles), _WORDS), np.float32)
+        for i, title in enumerate(titles):
+            for word in set(title.split()):
+                k = crc32(word.encode()) % _WORDS
+                self.words[i, k] += len(word) + 1
+                self.held[i, k] = 1
+
+    def bound(self, other: _Titles) -> np.ndarray:
+        """No token set ratio is higher: the letters that two titles share bound their common subsequence,
+        the words that they share the ratio of the shared part."""
+        common = sum(np.minimum.outer(a, b) for a, b in zip(self.letters.T, other.letters.T))
+        whole = 200 * common / np.maximum(self.size[:, None] + other.size[None, :], 1)
+        shared = np.minimum(self.words @ other.held.T, self.size[:, None] + 1)
+        small = np.minimum(self.size[:, None], other.size[None, :])
+        return np.maximum(whole, 200 * shared / np.maximum(shared + small, 1))
+
+
+def near_title_pairs(records: DataFrame, scratch: Scratch, least: float = 80.0, gap: int = 2) -> DataFrame:
+    """records: id, title, year, group -> a < b, score: all pairs of different groups with a token set ratio
+    of ``least`` or more and years at most ``gap`` apart (a missing year is year 0).
+
+    Titles of one year stand in blocks of about 1,024; blocks of years in reach meet, and a bound on the
+    ratio, exact, leaves few pairs to be scored.  NULL and wordless titles match nothing."""
+    ship(records.sparkSession)
+    schema = "a string, b string, score double"
+    rows = records.select(F.col("id").cast("string").alias("id"), T.norm_title(F.col("title")).alias("title"), F.coalesce("year", F.lit(0)).alias("year"), F.col("group").cast("string").alias("group")).filter("title <> ''")
+    sizes = rows.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / _TITLE_BLOCK).cast("int").alias("k"))
+    placed = rows.join(sizes, "year").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    packed = scratch.keep(placed.groupBy("year", "block").agg(F.collect_list(F.struct("id", "title", "group")).alias("rows")))
+    near = packed.select(F.col("year").alias("y"), F.col("block").alias("k"), F.col("rows").alias("others"), F.explode(F.sequence(F.col("year") - gap, F.col("year"))).alias("year"))
+    met = near.join(packed, "year").filter("year < y OR block <= k")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for left, right, same in zip(batch["others"], batch["rows"], (batch["y"] == batch["year"]) & (batch["k"] == batch["block"])):
+                x, y = _Titles([r["title"] for r in left]), _Titles([r["title"] for r in right])
+                for i, j in zip(*np.nonzero(x.bound(y) >= least - 1e-3)):
+                    p, q = left[i], right[j]
+                    if p["group"] != q["group"] and (not same or p["id"] < q["id"]) and (score := fuzzy.token_set_ratio(p["title"], q["title"])) >= least:
+                        out.append((*sorted((p["id"], q["id"])), score))
+            yield pd.DataFrame(out, columns=["a", "b", "score"])
+
+    return met.repartition(records.sparkSession.sparkContext.defaultParallelism, "y", "k", "year", "block").mapInPandas(run, schema)

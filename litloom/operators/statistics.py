@@ -149,3 +149,26 @@ def with_totals(rows: DataFrame, row: str, column: str) -> DataFrame:
     return rows.cube(row, column).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level")).select(
         F.when(F.col("level").isin(2, 3), "total").otherwise(F.col(row)).alias(row), F.when(F.col("level").isin(1, 3), "total").otherwise(F.col(column)).alias(column), "n"
     )
+
+
+def question_set(items: DataFrame, question: str, gold: Column, asked: Column) -> DataFrame:
+    """One row: questions, those whose own item is missing, and the least, median and greatest number of
+    gold items."""
+    each = items.groupBy(question).agg(F.count_if(gold).alias("g"), F.bool_or(asked).alias("asked"))
+    return each.agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(~F.col("asked")).alias("missing_parent"), F.min("g").alias("least"), F.percentile("g", 0.5).alias("median"), F.max("g").alias("most")
+    )
+
+
+def overlap_report(questions: DataFrame, overlap: Column, above: float = 0.3) -> DataFrame:
+    """One row: the median overlap of questions with their gold quotes, and how many lie above."""
+    return questions.select(overlap.alias("o")).agg(F.round(F.percentile("o", 0.5), 4).alias("median"), F.count_if(F.col("o") > above).alias("above"), F.count("o").alias("questions"))
+
+
+def pooling(gold: DataFrame, pooled: DataFrame, least: int = 2) -> DataFrame:
+    """gold: question_id, doc_id; pooled: question_id, doc_id, grade -> question_id, gold_items, in_pool, extra: how
+    many gold items the pool holds, and how many others were graded ``least`` or more."""
+    held = gold.join(pooled.select("question_id", "doc_id").distinct().withColumn("there", F.lit(1)), ["question_id", "doc_id"], "left")
+    found = held.groupBy("question_id").agg(F.count(F.lit(1)).alias("gold_items"), F.count("there").alias("in_pool"))
+    extra = pooled.filter(F.col("grade") >= least).join(gold, ["question_id", "doc_id"], "left_anti").groupBy("question_id").agg(F.count(F.lit(1)).alias("extra"))
+    return found.join(extra, "question_id", "left").withColumn("extra", F.coalesce("extra", F.lit(0)))

@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from litloom.plans import corpus_queries, identity_queries, retrieval_queries, statistics_queries  # noqa: F401
+    from litloom.plans import collection_queries, corpus_queries, identity_queries, retrieval_queries, statistics_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -192,7 +192,7 @@ def _pages(spark, d):
 @query()
 def pages_parse(spark, d):
     p = D.parse_pages(_pages(spark, d).select("doc_id", "html"), "html")
-    return p.select("doc_id", "parsed.title", F.size("parsed.sections").alias("sections"), "parsed.words", D.validity(F.col("parsed")).alias("reason"))
+    return p.select("doc_id", "parsed.title", F.size("parsed.sections").alias("sections"), "parsed.words", D.body_size(F.col("parsed")).alias("characters"))
 
 
 @query()

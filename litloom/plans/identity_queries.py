@@ -100,7 +100,18 @@ SELECT work_id, record_id, record_id = head AS canonical,
   CASE WHEN record_id <> head THEN 'duplicate_of:' || head WHEN coalesce(reason = 'corpus_cap', false) THEN 'corpus_cap' WHEN NOT {_FULL} THEN 'no_fulltext' ELSE '' END AS not_indexed_reason
 FROM ranked""")
 def canonical_pick(spark, d):
-    return identity.canonical_flags(_clean(spark, d).filter("work_id IS NOT NULL"))
+    return identity.canonical_flags(_clean(spark, d).filter("work_id IS NOT NULL")).drop("duplicate_of")
+
+
+@query(f"""WITH {_CLEAN}, ranked AS (
+  SELECT *, first_value(record_id) OVER (PARTITION BY work_id ORDER BY
+    CASE WHEN source = 'arxiv' AND {_FULL} THEN 0 WHEN source = 'acl' AND {_FULL} THEN 1 WHEN source = 'arxiv' THEN 2 ELSE 3 END,
+    CASE WHEN status IN ('html', 'ar5iv') THEN 0 ELSE 1 END, -version, record_id) AS head
+  FROM clean WHERE work_id IS NOT NULL)
+SELECT record_id, CASE WHEN record_id = head THEN '' WHEN source IN ('arxiv_v1', 'acl_copy') THEN coalesce(duplicate_of, head) ELSE head END AS duplicate_of FROM ranked""")
+def canonical_duplicates(spark, d):
+    """What each record is a duplicate of; fetched copies keep what they name."""
+    return identity.canonical_flags(_clean(spark, d).filter("work_id IS NOT NULL")).select("record_id", "duplicate_of")
 
 
 @query(f"""WITH {_CLEAN}, ranked AS (SELECT work_id, count(*) AS n FROM clean WHERE work_id IS NOT NULL GROUP BY work_id)

@@ -216,9 +216,9 @@ def test_metrics_and_failures(spark):
 def test_parsing_and_chunks():
     page = D.parse_html("<h1>T</h1><nav>menu</nav><h2>Intro</h2><p>one two<p>three <b>four<br>five<script>'</p>'</script><h3>Deep</h3><table><tr><td>a</td><td>b</td></tr></table><section class='ltx_bibliography'><ul><li>r</li></ul></section>")
     assert page["title"] == "T" and [s["path"] for s in page["sections"]] == ["Intro", "Intro > Deep"] and page["references"] == 1
-    assert page["sections"][0]["paragraphs"] == ["one two", "three four five"] and page["sections"][1]["tables"] == [[["a", "b"]]]
+    assert page["sections"][0]["paragraphs"] == ["one two", "three four five"] and page["sections"][1]["tables"] == [{"caption": "", "rows": [["a", "b"]]}]
     assert D.parse_html(None)["sections"] == [] and D.parse_html("")["words"] == 0
-    table = {"path": "R", "level": 1, "paragraphs": [], "captions": ["Table 1: x"], "tables": [[["h1", "h2"], *[[f"r{i}", str(i)] for i in range(300)]]]}
+    table = {"path": "R", "level": 1, "paragraphs": [], "captions": ["Figure 1: of the section"], "tables": [{"caption": "Table 1: x", "rows": [["h1", "h2"], *[[f"r{i}", str(i)] for i in range(300)]]}]}
     parts = [t for _, kind, t in D.chunks_of({"sections": [table]}) if kind == "table"]
     assert len(parts) > 1 and all(p.startswith("Table 1: x\nh1 | h2\n") for p in parts)
     assert [line for p in parts for line in p.split("\n")[2:]] == [f"r{i} | {i}" for i in range(300)]
@@ -230,6 +230,105 @@ def test_parsing_and_chunks():
     assert max(map(D._count, D.halves("x," * 2000, 480))) <= 480
 
 
+def test_tables_keep_their_own_captions():
+    page = D.parse_html("<h2>R</h2><figure class='ltx_figure'><figcaption>Figure 1: f</figcaption></figure><figure class='ltx_table'><figcaption>Table 1: a</figcaption><table><tr><td>1</td></tr></table></figure>"
+                        "<figure class='ltx_table'><table><tr><td>2</td></tr></table><figcaption>Table 2: b</figcaption></figure><table><caption>Table 3: c</caption><tr><td>3</td></tr></table><table><tr><td>4</td></tr></table>")
+    section = page["sections"][0]
+    assert section["captions"] == ["Figure 1: f"] and [(t["caption"], t["rows"]) for t in section["tables"]] == [("Table 1: a", [["1"]]), ("Table 2: b", [["2"]]), ("Table 3: c", [["3"]]), ("", [["4"]])]
+    text = D.parse_markdown("# R\nTable 1: a\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\nFigure 2: f\n\n| z |\n")
+    assert [t["caption"] for t in text["sections"][0]["tables"]] == ["Table 1: a", ""] and text["sections"][0]["captions"] == ["Figure 2: f"]
+
+
+def test_parse_gate_counts_all_text(spark):
+    long = {"title": "", "sections": [{"path": str(i), "level": 1, "paragraphs": ["x"], "tables": [{"caption": "c" * 900, "rows": [["y" * 900]]}], "captions": ["z" * 100]} for i in range(3)], "references": 0, "errors": 0, "words": 0}
+    short = long | {"sections": long["sections"][:2]}
+    frame = spark.createDataFrame([(long, short), (short, long), (short, short), (None, None)], f"first {D.PARSED}, second {D.PARSED}")
+    got = [r[:] for r in frame.select(D.body_size(F.col("first")), D.better_parse(F.col("first"), F.col("second"))).collect()]
+    assert got[0] == (3 * (1 + 900 + 900 + 100) + 11, "first") and got[1][1] == "second" and got[2][1] == "failed" and got[3][0] == 0
+
+
+def test_page_reasons(spark):
+    page = lambda body, title="T": f"<html><head><title>{title}</title></head><body>{body}</body></html>"
+    main = lambda n, k: "<div class='ltx_page_main'>" + '<section class="ltx_section a">' * k + "word " * n + "<script>" + "no " * 3000 + "</script></div>"
+    cases = [(page("", "No content available"), "no content"), (page("ar5iv-severity-fatal"), "fatal conversion error"), (page("<b class='x ltx_missing'>"), "missing element"), (page("<p class='ltx_page_mainx'>"), "no main part"),
+             (page(main(1499, 3)), "too few words"), (page(main(1500, 1)), "too few sections"), (page(main(1500, 2)), ""), (None, "no main part")]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, html string")
+    assert [r[0] for r in frame.orderBy("i").select(D.page_reason(F.col("html"))).collect()] == [c[1] for c in cases]
+
+
+def test_budget_and_comparison(spark):
+    frame = spark.createDataFrame([(["a b", "", "c d e", "f"],), (["a b c d e f"],), ([],), (None,)], "p array<string>")
+    assert [r[0] for r in frame.select(D.budgeted(F.col("p"), 4)).collect()] == [["a b", "c d"], ["a b c d"], [], None]
+    a, b = D.parse_markdown("# 1 Intro\nbyte pairs merge\n# Results\nmore words"), D.parse_markdown("# Intro\nbyte pairs\n# Resuls\nmore words\n# Other\nxx yy")
+    assert D.heading_f1(a, b) == pytest.approx(0.8) and D.word_recall(a, b) == pytest.approx(4 / 5) and D.heading_f1(a, D.parse_markdown("")) == 0
+
+
+class Pages:
+    def get(self, url):
+        return {"a1": (404, b""), "a2": (200, b"bad"), "a3": (200, b"%PDF"), "b1": None, "b2": (500, b""), "c1": (200, b"good")}[url]
+
+
+def test_full_text_chain(spark):
+    todo = spark.createDataFrame([("a", {"html": "a1", "ar5iv": "a2", "pdf": "a3"}), ("b", {"html": "b1", "ar5iv": "b2"}), ("c", {"html": "c1", "pdf": "never asked"}), ("d", {})], "key string, urls map<string,string>")
+    tried = collection.attempts(todo, Pages, lambda step, content: "" if step == "pdf" or content == b"good" else "too short")
+    rows = [(r.key, r.step, r.outcome) for r in tried.collect()]
+    assert rows == [("a", "html", "http 404"), ("a", "ar5iv", "too short"), ("a", "pdf", "saved"), ("b", "html", "no response"), ("b", "ar5iv", "http 500"), ("c", "html", "saved")]
+    assert {r[:] for r in collection.status_of(tried).collect()} == {("a", "pdf", "a3"), ("b", "", ""), ("c", "html", "c1")}
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, {"a": [1]}), (2, None)], "k int, v map<string,array<int>>")
+    assert [collection.write_new(rows, str(tmp_path / "t"), "k") for _ in range(2)] == [2, 0] and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    collection.write_once(rows, str(tmp_path / "o"))
+    with pytest.raises(Exception, match="exists"):
+        collection.write_once(rows, str(tmp_path / "o"))
+    with pytest.raises(ValueError, match="without"):
+        collection.assert_complete(spark.createDataFrame([("r", "t", None)], "id string, title string, year int"), "id", ["title", "year"])
+    collection.assert_complete(rows.limit(0), "k", ["k"])
+
+
+def test_best_hits(spark):
+    rows = spark.createDataFrame([("r", "Byte pair encoding for all", 2020), ("s", "Byte pair encoding for all", None), ("t", "Another one", 2019)], "record_id string, title string, year int")
+    hit = "record_id string, pos int, hit_title string, hit_year int, published boolean, work string"
+    hits = [("r", 1, "Byte Pair Encoding for All", 2021, False, "w1"), ("r", 2, "Byte pair-encoding, for all!", 2022, True, "w2"), ("r", 3, "Byte pair encoding for all", 2025, True, "late"), ("r", 4, "Byte pair", 2020, True, "subset"),
+            ("s", 1, "Byte pair encoding for all", 2020, True, "w"), ("t", 1, None, 2019, None, "w3"), ("t", 2, "another  one", 2018, None, "w4")]
+    assert {r[:] for r in collection.best_hits(rows, spark.createDataFrame(hits, hit)).collect()} == {("r", "w2"), ("t", "w4")}
+
+
+def test_near_title_pairs_match_brute_force(spark):
+    rng = random.Random(16)
+    words = "byte pair coding of rare words with neural models in many languages".split()
+    rows = [(f"r{i:03}", " ".join(rng.sample(words, rng.randint(1, 7))) + rng.choice(["", "", "s", "xy"]), rng.choice([None, 1, 2, 2003, 2004, 2006, 2009]), f"g{rng.randrange(60)}") for i in range(150)] + [("n", None, 2003, "g"), ("e", "--", 2003, "h")]
+    want = set()
+    for i, x in enumerate(rows[:150]):
+        for y in rows[i + 1:150]:
+            if x[3] != y[3] and abs((x[2] or 0) - (y[2] or 0)) <= 2 and fuzzy.token_set_ratio(fuzzy.norm_title(x[1]), fuzzy.norm_title(y[1])) >= 80:
+                want.add((x[0], y[0]))
+    frame = spark.createDataFrame(rows, "id string, title string, year int, group string")
+    got = [(r.a, r.b) for r in identity.near_title_pairs(frame, Scratch(spark)).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    assert identity.near_title_pairs(frame.limit(0), Scratch(spark)).count() == 0
+
+
+def test_pair_features_and_flags(spark):
+    records = spark.createDataFrame([("a", "Byte pairs", "A Lee; B Roy", 100), ("b", "Byte  pairs!", "C Lee", 50), ("c", None, None, 0)], "record_id string, title string, authors string, body_words int")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "record_id string, embedding array<double>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "zz")], "a string, b string")
+    got = {r.b: r[2:] for r in identity.pair_features(pairs, records, vectors).collect()}
+    assert got["b"] == (100.0, 0.5, 0.6, 0.5) and got["c"] == (0.0, 0.0, None, None) and got["zz"] == (0.0, 0.0, None, None)
+    rows = [("w", "h", "arxiv", "html", 1, "", ""), ("w", "v", "arxiv_v1", "none", 1, "", "kept"), ("w", "o", "acl", "none", 1, "", "lost")]
+    flags = identity.canonical_flags(spark.createDataFrame(rows, "work_id string, record_id string, source string, status string, version int, reason string, duplicate_of string"))
+    assert {r.record_id: r.duplicate_of for r in flags.collect()} == {"h": "", "v": "kept", "o": "h"}
+
+
+def test_pooling_and_overlap(spark):
+    gold = spark.createDataFrame([("q", 1), ("q", 2), ("p", 9)], "question_id string, doc_id int")
+    pooled = spark.createDataFrame([("q", 1, None), ("q", 3, 2), ("q", 4, 1), ("p", 8, 3)], "question_id string, doc_id int, grade int")
+    assert {r[:] for r in statistics.pooling(gold, pooled).collect()} == {("q", 2, 1, 1), ("p", 1, 0, 1)}
+    asked = spark.createDataFrame([("what is a byte pair", "a byte pair"), ("tokens", "none of it")], "q string, g string")
+    assert statistics.overlap_report(asked, T.lexical_overlap(F.col("q"), F.col("g"))).first()[:] == (0.5, 1, 2)
+
+
 def test_feed_and_catalogue(spark):
     xml = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="urn:o"><o:totalResults>1234</o:totalResults>
     <entry><id>http://x/abs/2301.00001v2</id><title>A
