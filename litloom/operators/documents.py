@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from litloom.functions import text as T
 from litloom.functions.fuzzy import ratio
-from litloom.session import ship
+from litloom.session import parallel, ship
 
 # The target and the limit of a chunk, and the words below which a section joins the next.
 TARGET, LIMIT, SHORT = 350, 480, 40
@@ -377,16 +377,27 @@ def _plain(parsed) -> dict:
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text -> doc_id, word, positions (from 0)."""
-    words = docs.select("doc_id", F.posexplode(F.split(T.clean_space(F.col("text")), " ")).alias("pos", "word"))
-    return words.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """docs: doc_id, text -> doc_id, index: map of each distinct word to its positions (from 0).  Inside the
+    row: nothing is shuffled."""
+    words = F.split(T.clean_space(F.col("text")), " ")
+    rows = parallel(docs).select("doc_id", "text").select("doc_id", words.alias("w"))
+
+    @F.pandas_udf("map<string,array<int>>")
+    def index(batch: pd.Series) -> pd.Series:
+        out = []
+        for w in batch:
+            held: dict[str, list[int]] | None = None if w is None else {}
+            for i, word in enumerate(w if w is not None else ()):
+                held.setdefault(word, []).append(i)
+            out.append(held)
+        return pd.Series(out)
+
+    return rows.select("doc_id", index("w").alias("index"))
 
 
 def rebuilt(index: DataFrame) -> DataFrame:
     """doc_id, text: the words of an inverted index in the order of their positions."""
-    places = index.select("doc_id", "word", F.explode("positions").alias("pos"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "word")))
-    return places.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["word"]), " ").alias("text"))
+    return index.select("doc_id", F.when(F.col("index").isNotNull(), from_inverted(F.col("index"))).alias("text"))
 
 
 def from_inverted(index: Column) -> Column:

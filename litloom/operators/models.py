@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from litloom.session import ship
 
 # How an abstaining answer begins, and the mark left where a citation was removed.
-ABSTAIN = "I could not find this in the papers"
+ABSTAIN = "The corpus does not support an answer to this question."
 REMOVED = "[citation removed]"
 
 

@@ -11,13 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litloom.functions import text as T
+from litloom.functions.stem import stems
+from litloom.operators.filters import score_gate
+from litloom.session import Scratch, parallel, ship, small
 
 # The parameters of the keyword score, of fusion and of diversification.
 K1, B, RRF_K, PER_WORK, TAU = 1.5, 0.75, 60, 4, 0.92
+# Words that carry no meaning for the keyword index.
+STOP = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: The term that stands for a document's length: no text has it.
+_LENGTH = ""
 #: The largest matrix of query vectors that is sent to the tasks, in numbers; more go in blocks.
 BLOCK = 2_000_000
 
@@ -25,7 +32,10 @@ BLOCK = 2_000_000
 def postings(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """docs: doc_id, text -> doc_id, dl, term, tf.  With ``wanted`` (term), only those terms are
     counted; lengths are of whole texts all the same.  NULL texts have no postings."""
-    words = docs.filter(F.col("text").isNotNull()).select("doc_id", T.terms(F.col("text")).alias("w"))
+    return _counted(docs.filter(F.col("text").isNotNull()).select("doc_id", T.terms(F.col("text")).alias("w")), wanted)
+
+
+def _counted(words: DataFrame, wanted: DataFrame | None) -> DataFrame:
     each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     if wanted is not None:
         each = each.join(wanted, "term", "left_semi")
@@ -47,13 +57,26 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """The k best documents of each query by BM25; documents without a term of the query are not
-    ranked.  Postings of terms that no query has are dropped before the first shuffle."""
-    asked = query_terms(queries)
-    found = postings(docs, asked.select("term").distinct())
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = found.join(df, "term").join(F.broadcast(collection_stats(docs)), how="cross").select(
+def matched(docs: DataFrame, queries: DataFrame, scratch: Scratch) -> DataFrame:
+    """The postings of the queries' terms, and one row with the empty term for each document, which stands
+    for its length: all that a ranking needs, from one reading of the texts.  Postings of other terms are
+    dropped before the first shuffle."""
+    wanted = query_terms(queries).select("term").unionByName(queries.sparkSession.range(1).select(F.lit(_LENGTH).alias("term"))).distinct()
+    words = parallel(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", T.terms(F.col("text")).alias("w"))
+    each = words.select("doc_id", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(_LENGTH)), "w")).alias("term")).join(small(wanted), "term", "left_semi")
+    return scratch.keep(each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def rank_bm25(found: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """found: what ``matched`` gives -> the k best documents of each query."""
+    stats = found.filter(F.col("term") == _LENGTH).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = found.filter(F.col("term") != _LENGTH)
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(terms, df, stats, query_terms(queries), k, k1, b)
+
+
+def _scored(terms: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    weighted = terms.join(df, "term").join(F.broadcast(stats), how="cross").select(  # stats has one row
         "doc_id", "term",
         (F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"),
     )
@@ -61,6 +84,96 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     return top_k(scored, k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, scratch: Scratch | None = None) -> DataFrame:
+    """The k best documents of each query by BM25; documents without a term of the query are not
+    ranked."""
+    return rank_bm25(matched(docs, queries, scratch or Scratch(docs.sparkSession)), queries, k, k1, b)
+
+
+def analysed(rows: DataFrame, key: str, stop: tuple[str, ...] = (), stemmed: bool = False) -> DataFrame:
+    """key, term, tf, dl: the terms of each text without stop words, as stems.  Each distinct word is stemmed
+    once; the lengths are of what is left."""
+    words = parallel(rows.filter(F.col("text").isNotNull()).select(key, "text")).select(key, F.explode_outer(T.terms(F.col("text"))).alias("word"))
+    kept = words.filter(F.col("word").isNull() | ~F.col("word").isin(*stop)) if stop else words
+    counted = kept.groupBy(key, "word").agg(F.count("word").alias("tf"))
+    if stemmed:
+        known = counted.filter("word IS NOT NULL").select("word").distinct().withColumn("term", stems(F.col("word")))
+        counted = counted.join(known, "word", "left").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    else:
+        counted = counted.withColumnRenamed("word", "term")
+    dl = counted.groupBy(key).agg(F.sum("tf").alias("dl"))
+    return counted.join(dl, key).filter(F.col("term").isNotNull()).select(key, "term", "tf", "dl")
+
+
+def build_index(docs: DataFrame, path: str, stop: tuple[str, ...] = (), stemmed: bool = False, buckets: int = 64) -> None:
+    """Writes a keyword index: postings by bucket of terms with their document frequencies, and one row of
+    statistics with how texts were analysed.  A query reads the buckets of its terms alone.  A bucket is
+    written by several tasks, so a term in a third of all documents is no one task's.  Raises where an
+    index is already."""
+    scratch = Scratch(docs.sparkSession)
+    terms = scratch.keep(analysed(docs, "doc_id", stop, stemmed))
+    there = docs.filter(F.col("text").isNotNull()).select("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    total = terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    stats = there.join(total, how="cross").select(  # one row each
+        "n", (F.col("tokens") / F.nullif("n", F.lit(0))).alias("avgdl"), F.array(*map(F.lit, stop)).cast("array<string>").alias("stop"), F.lit(stemmed).alias("stemmed"), F.lit(buckets).alias("buckets"))
+    stats.write.mode("errorifexists").parquet(f"{path}/stats")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    rows = terms.join(df, "term").withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "term").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
+    scratch.drop(terms)
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The k best documents of each query from a stored index; queries are analysed as its texts were."""
+    stats = spark.read.parquet(f"{path}/stats")
+    how = stats.first()
+    asked = analysed(queries, "query_id", tuple(how["stop"]), how["stemmed"]).select("query_id", "term")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(how["buckets"])).cast("int")
+    wanted = [r[0] for r in asked.select(bucket.alias("bucket")).distinct().collect()]  # at most all buckets
+    held = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*wanted) if wanted else F.lit(False))
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")
+    return _scored(held.select("doc_id", "term", "tf", "dl", "df").drop("df"), held.select("term", "df").distinct(), stats.select("n", "avgdl"), asked, k, k1, b)
+
+
+def retrieve(words: DataFrame | None, near: DataFrame | None, about: DataFrame, k: int, mode: str = "r1", cap: int = PER_WORK, vectors: DataFrame | None = None, tau: float = TAU, want_flagged: bool = False) -> DataFrame:
+    """words: a keyword ranking, near: a dense one (either may be None; both are fused, the dense one first);
+    about: doc_id, work, flagged -> query_id, doc_id, score, rank, folded (ids shown under it).
+
+    mode ``off`` cuts the list to k; ``r1`` folds what is beyond ``cap`` passages of a work; ``r1r2r3`` also
+    folds passages of other works with a cosine of ``tau`` or more where ``vectors`` are given, and lets one
+    flagged passage into the first five unless they are wanted."""
+    given = [x for x in (near, words) if x is not None]
+    ranked = (fuse(given) if len(given) > 1 else given[0].select("query_id", "doc_id", "score", "rank")).join(about, "doc_id")
+    if mode == "off":
+        kept, under = ranked.withColumn("place", F.col("rank")), None
+    else:
+        if mode == "r1" or vectors is None:
+            parted = cap_per_work(ranked, cap).select("query_id", "doc_id", "rank", "score", "flagged", "kept", "under")
+        else:
+            held = ranked.join(vectors, "doc_id", "left").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "rank", "work", "embedding")
+            parted = fold_near(held, tau, cap).drop("rank", "reason").join(ranked.select("query_id", "doc_id", "rank", "score", "flagged"), ["query_id", "doc_id"])
+        under = parted.filter("NOT kept").groupBy("query_id", F.col("under").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").alias("d")))), lambda r: r["d"]).alias("folded"))
+        kept = parted.filter("kept")
+        again = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+        if mode == "r1r2r3" and not want_flagged:
+            kept = cap_category(kept.withColumn("rank", again), F.col("flagged")).withColumnRenamed("new_rank", "place")
+        else:
+            kept = kept.withColumn("place", again)
+    out = kept.filter(F.col("place") <= k).select("query_id", "doc_id", "score", F.col("place").alias("rank"))
+    none = F.array().cast("array<bigint>")
+    if under is None:
+        return out.withColumn("folded", none)
+    return out.join(under, ["query_id", "doc_id"], "left").withColumn("folded", F.coalesce("folded", none))
+
+
+def gated(queries: DataFrame, tau: float, near: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """query_id, score, abstain: the best score is that of the dense ranking where there is one (fused scores
+    say nothing), else of the keyword ranking.  Nothing is gated while tau is 0."""
+    best = (near if near is not None else words).groupBy("query_id").agg(F.max("score").alias("score"))
+    return score_gate(queries.select("query_id").join(best, "query_id", "left"), tau)
+
+
 def truncated(vector: Column, dims: int) -> Column:
     """The first dims numbers, of length 1 again; a zero vector stays zero."""
     head = F.slice(vector, 1, dims)
@@ -91,6 +204,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None, least: float |
     ``least``: only products of at least so much; with k None all of these.
     """
     schema = "query_id bigint, doc_id bigint, score double"
+    ship(vectors.sparkSession)
     out = None
     for ids, matrix in _query_blocks(queries):
 

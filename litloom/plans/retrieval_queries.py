@@ -53,8 +53,14 @@ def bm(spark, d, k=20):
 
 
 def fused(spark, d):
-    docs, asked = documents(spark, d), questions(spark, d)
-    return retrieval.fuse([retrieval.bm25(docs, asked, 20), retrieval.bm25(docs, asked, 20, k1=0.9, b=0.0)])
+    return retrieval.fuse(two_rankings(spark, d))
+
+
+def two_rankings(spark, d):
+    """Two keyword rankings from one reading of the texts."""
+    asked = questions(spark, d)
+    found = retrieval.matched(documents(spark, d), asked, Scratch(spark))
+    return [retrieval.rank_bm25(found, asked, 20), retrieval.rank_bm25(found, asked, 20, k1=0.9, b=0.0)]
 
 
 @query(f"WITH {_POSTINGS} SELECT term, df, cf FROM df")
@@ -120,6 +126,73 @@ def hybrid_retrieve(spark, d):
     return kept.withColumn("place", again).filter("place <= 8").select("query_id", "doc_id", "score", "work", F.col("place").alias("rank"))
 
 
+@query(f"WITH {_BASE} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
+def bm25_stored_index(spark, d):
+    """The same ranking from an index on disk."""
+    path = f"{Scratch(spark).root}/index"
+    retrieval.build_index(documents(spark, d), path)
+    return retrieval.search_index(spark, path, questions(spark, d), 10)
+
+
+@query()
+def bm25_stemmed_index(spark, d):
+    """Without stop words, over stems."""
+    path = f"{Scratch(spark).root}/index"
+    retrieval.build_index(documents(spark, d), path, retrieval.STOP, stemmed=True)
+    return retrieval.search_index(spark, path, questions(spark, d), 10)
+
+
+_NEAR = """near0 AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings v, embeddings q WHERE q.vec_id IN (SELECT item_id FROM eval_items WHERE item_type = 'question') AND v.vec_id IN (SELECT doc_id FROM documents)),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM near0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)"""
+_HYBRID = f"""{_BASE}, {_WORK}, {_NEAR},
+both0 AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((l, rank)) AS first FROM (SELECT query_id, doc_id, rank, 0 AS l FROM near UNION ALL SELECT query_id, doc_id, rank, 1 FROM bm) GROUP BY query_id, doc_id),
+both_ AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM both0),
+placed AS (SELECT query_id, doc_id, score, rank, row_number() OVER (PARTITION BY query_id, work ORDER BY rank) AS nth FROM both_ JOIN work_of USING (doc_id))"""
+
+
+def near_and_words(spark, d):
+    """A dense ranking (the vector with a question's number stands for it) and a keyword ranking."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.join(questions(spark, d).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    return retrieval.dense(vectors.join(documents(spark, d).select("doc_id"), "doc_id", "left_semi"), asked, 20), bm(spark, d)
+
+
+def _about(spark, d):
+    return _work(spark, d).select("doc_id", "work", (F.col("lang") != "en").alias("flagged"))
+
+
+@query(f"""WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank FROM placed WHERE nth <= 4
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8""")
+def hybrid_dense(spark, d):
+    """The flagship: vectors and words fused, at most four of a work, the first eight."""
+    near, words = near_and_words(spark, d)
+    return retrieval.retrieve(words, near, _about(spark, d), 8, "r1").drop("folded")
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM both_ WHERE rank <= 8")
+def hybrid_dense_off(spark, d):
+    near, words = near_and_words(spark, d)
+    return retrieval.retrieve(words, near, _about(spark, d), 8, "off").drop("folded")
+
+
+@query()
+def hybrid_dense_folded(spark, d):
+    """With near passages folded, by the given vectors, and one passage in another language in front."""
+    near, words = near_and_words(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    out = retrieval.retrieve(words, near, _about(spark, d), 8, "r1r2r3", vectors=vectors)
+    return out.withColumn("folded", F.array_join(F.col("folded").cast("array<string>"), " "))
+
+
+@query(f"""WITH {_NEAR} SELECT item_id AS query_id, max(score) AS score, max(score) IS NULL OR max(score) < 0.4 AS abstain
+FROM eval_items LEFT JOIN near ON query_id = item_id WHERE item_type = 'question' GROUP BY item_id""")
+def dense_gate(spark, d):
+    """Hybrids are gated on the dense score."""
+    near, words = near_and_words(spark, d)
+    return retrieval.gated(questions(spark, d), 0.4, near=near, words=words)
+
+
 _UNIT = "list_transform(embedding[1:16], lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16], lambda y: y::DOUBLE * y::DOUBLE))))"
 
 
@@ -176,8 +249,7 @@ def context_assembly(spark, d):
 
 @query(f"WITH {_BASE}, {_bm25_sql('bm2', 20, 0.9, 0.0)} SELECT query_id, doc_id FROM (SELECT query_id, doc_id FROM bm WHERE rank <= 5 UNION SELECT query_id, doc_id FROM bm2 WHERE rank <= 5) WHERE (query_id + doc_id) % 3 <> 0")
 def pool_union(spark, d):
-    docs, asked = documents(spark, d), questions(spark, d)
-    lists = [retrieval.bm25(docs, asked, 20), retrieval.bm25(docs, asked, 20, k1=0.9, b=0.0)]
+    lists = two_rankings(spark, d)
     judged = lists[0].unionByName(lists[1]).select("query_id", "doc_id").distinct().filter("(query_id + doc_id) % 3 = 0")
     return models.pool(lists, 5, judged)
 

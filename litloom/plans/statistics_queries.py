@@ -8,32 +8,31 @@ from pyspark.sql import functions as F
 from litloom.functions import text as T
 from litloom.operators import filters, identity, retrieval, statistics
 from litloom.plans.catalogue import query
-from litloom.plans.retrieval_queries import _BASE, _WORK, _bm25_sql, _work, bm, documents, questions
-from litloom.session import Scratch, table
+from litloom.plans.retrieval_queries import _BASE, _WORK, _bm25_sql, _work, bm, documents, questions, two_rankings
+from litloom.session import Scratch, parallel, small, table
 
-_GOLD = r"""quotes AS (SELECT q.item_id AS query_id, array_to_string((regexp_extract_all(lower(g.text), '[\p{L}\p{N}_]{2,}'))[1:8], ' ') AS head
+_GOLD = r"""said AS (SELECT q.item_id AS query_id, regexp_extract_all(lower(g.text), '[\p{L}\p{N}_]{2,}') AS w
   FROM eval_items g JOIN eval_items q ON q.question_id = g.question_id AND q.item_type = 'question' WHERE g.item_type = 'gold_quote'),
-grams AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS head FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM words)),
-gold AS (SELECT DISTINCT query_id, doc_id, work FROM quotes JOIN grams USING (head) JOIN work_of USING (doc_id))"""
+sized AS (SELECT query_id, w, least(8, len(w)) AS n FROM said WHERE len(w) > 0),
+quotes AS (SELECT DISTINCT query_id, n, array_to_string(w[p:p + n - 1], ' ') AS head FROM (SELECT query_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM sized)),
+grams AS (SELECT DISTINCT doc_id, n, array_to_string(w[p:p + n - 1], ' ') AS head FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM words, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+gold AS (SELECT DISTINCT query_id, doc_id, work FROM quotes JOIN grams USING (n, head) JOIN work_of USING (doc_id))"""
 
 
-def gold(spark, d, whole=False):
-    """Documents that hold the first eight words of a gold quote of the question.  whole: eight words
-    in a row from anywhere in the quote, or a shorter quote as it is."""
+def gold(spark, d):
+    """Documents that hold eight words in a row from anywhere in a gold quote of the question, or a shorter
+    quote as it is."""
     items = table(spark, d, "eval_items")
     asked = items.filter("item_type = 'question'").select("question_id", F.col("item_id").alias("query_id"))
     quotes = items.filter("item_type = 'gold_quote'").join(asked, "question_id").select("query_id", T.terms(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    runs = lambda n: F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.array_join(F.slice("w", p, n), " "))).alias("head")
-    if whole:
-        n = F.least(F.lit(8), F.size("w"))
-        sizes = [r.n for r in quotes.select(n.alias("n")).distinct().collect()]  # eight at most
-        heads = quotes.select("query_id", runs(n)).distinct()
-    else:
-        sizes = [8]
-        heads = quotes.select("query_id", F.array_join(F.slice("w", 1, 8), " ").alias("head"))
-    words = documents(spark, d).select("doc_id", T.terms(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
-    grams = words.filter(F.size("w") >= F.col("n")).select("doc_id", runs(F.col("n")))
-    return grams.join(heads, "head").select("query_id", "doc_id").distinct().join(_work(spark, d).drop("lang"), "doc_id")
+    run = lambda p, n: F.array_join(F.slice("w", p, n), " ")
+    places = lambda n: F.sequence(F.lit(1), F.size("w") - n + 1)
+    n = F.least(F.lit(8), F.size("w"))
+    sizes = [r.n for r in quotes.select(n.alias("n")).distinct().collect()]  # eight at most
+    heads = quotes.select("query_id", F.explode(F.transform(places(n), lambda p: run(p, n))).alias("head")).distinct()
+    words = parallel(documents(spark, d)).select("doc_id", T.terms(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).filter(F.size("w") >= F.col("n"))
+    grams = words.select("doc_id", F.explode(F.transform(places(F.col("n")), lambda p: run(p, F.col("n")))).alias("head"))
+    return grams.join(small(heads), "head").select("query_id", "doc_id").distinct().join(_work(spark, d).drop("lang"), "doc_id")
 
 
 def _metrics_sql(ranked: str) -> str:
@@ -47,24 +46,18 @@ def _metrics_sql(ranked: str) -> str:
 
 
 @query(f"WITH {_BASE}, {_WORK}, {_GOLD} SELECT * FROM {_metrics_sql('bm')}")
-def retrieval_metrics(spark, d):
-    ranked = bm(spark, d).join(_work(spark, d).drop("lang"), "doc_id")
-    return statistics.retrieval_metrics(ranked, gold(spark, d), questions(spark, d))
-
-
-@query()
 def retrieval_metrics_whole(spark, d):
     """With gold from whole quotes."""
     ranked = bm(spark, d).join(_work(spark, d).drop("lang"), "doc_id")
-    return statistics.retrieval_metrics(ranked, gold(spark, d, whole=True), questions(spark, d))
+    return statistics.retrieval_metrics(ranked, gold(spark, d), questions(spark, d))
 
 
-def _two(spark, d, whole=False):
+def _two(spark, d):
     scratch = Scratch(spark)
-    docs, asked, works = documents(spark, d), questions(spark, d), _work(spark, d).drop("lang")
-    held = scratch.keep(gold(spark, d, whole))
+    asked, works = questions(spark, d), _work(spark, d).drop("lang")
+    held = scratch.keep(gold(spark, d))
     parts = []
-    for name, ranked in (("bm25", retrieval.bm25(docs, asked, 20)), ("bm25-flat", retrieval.bm25(docs, asked, 20, k1=0.9, b=0.0))):
+    for name, ranked in zip(("bm25", "bm25-flat"), two_rankings(spark, d)):
         parts.append(statistics.retrieval_metrics(ranked.join(works, "doc_id"), held, asked).withColumn("retriever", F.lit(name)))
     both = parts[0].unionByName(parts[1]).join(asked, "query_id").withColumn("latency", F.length("text") / F.lit(1000.0))
     return scratch.keep(both.select("retriever", "query_id", "recall5", "mrr10", "latency"))
@@ -79,19 +72,14 @@ best AS (SELECT arg_max(retriever, (recall5, retriever)) AS best FROM means)
 SELECT m.*, diff, wins, losses FROM means m JOIN (
   SELECT t.retriever, round(avg(t.recall5 - b.recall5), 4) AS diff, count(*) FILTER (t.recall5 > b.recall5) AS wins, count(*) FILTER (t.recall5 < b.recall5) AS losses
   FROM two t JOIN two b ON t.query_id = b.query_id AND b.retriever = (SELECT best FROM best) GROUP BY t.retriever) USING (retriever)""")
-def retriever_summary(spark, d):
-    return statistics.summary(_two(spark, d))
-
-
-@query()
 def retriever_summary_whole(spark, d):
     """With gold from whole quotes."""
-    return statistics.summary(_two(spark, d, whole=True))
+    return statistics.summary(_two(spark, d))
 
 
 @query()
 def bootstrap_ci(spark, d):
-    out = statistics.bootstrap(_two(spark, d, whole=True), "retriever", "query_id", "recall5")
+    out = statistics.bootstrap(_two(spark, d), "retriever", "query_id", "recall5")
     return out.select("retriever", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 

@@ -69,6 +69,18 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def parallel(rows: DataFrame) -> DataFrame:
+    """A scan with too few partitions for the cores (one small file) over all of them; any other as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else rows
+
+
+def small(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """Narrow rows to be broadcast if there are at most ``most`` of them, counted; else as they are, to be
+    joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 class Scratch:
     """Written tables that cut the lineage of iterative plans.
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from litloom.functions import fuzzy
+from litloom.functions import fuzzy, stem
 from litloom.functions import text as T
 from litloom.operators import documents as D
 from litloom.operators import answers, collection, filters, identity, models, retrieval, statistics
@@ -60,6 +60,46 @@ def test_near_folding(spark):
     assert [(r.kept, r.under, r.reason) for r in got] == [(True, None, None), (False, 1, "also stated in"), (True, None, None), (False, 1, "more from this paper")]
 
 
+def test_stems():
+    known = "consign consigned consigning consignment consist consistency consistently consolation consolatory knackeries knightly knots relational hopping hoped happy sky news generously communism ties cries agreed plastered motoring falling skis by"
+    want = "consign consign consign consign consist consist consist consol consolatori knackeri knight knot relat hop hope happi sky news generous communism tie cri agre plaster motor fall ski by"
+    assert [stem.stem(w) for w in known.split()] == want.split() and stem.stem("étés") == "étés"
+
+
+def test_stored_index_equals_plain_bm25(spark, tmp_path):
+    rng = random.Random(17)
+    words = "pairs merging merged tokens token the of vocabulary vocabularies model".split()
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(80)] + [(99, None)], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "Merging tokens"), (2, "the vocabulary of models"), (3, None), (4, "absent")], "query_id bigint, text string")
+    plain = [r[:] for r in retrieval.bm25(docs, asked, 5).orderBy("query_id", "rank").collect()]
+    retrieval.build_index(docs, str(tmp_path / "i"), buckets=4)
+    assert [r[:] for r in retrieval.search_index(spark, str(tmp_path / "i"), asked, 5).orderBy("query_id", "rank").collect()] == plain
+    retrieval.build_index(docs, str(tmp_path / "s"), buckets=4, stop=retrieval.STOP, stemmed=True)
+    read = lambda t: " ".join(stem.stem(w) for w in t.lower().split() if w not in retrieval.STOP)
+    again = lambda rows: [(i, None if t is None else read(t)) for i, t in rows]
+    want = retrieval.bm25(spark.createDataFrame(again(r[:] for r in docs.collect()), docs.schema), spark.createDataFrame(again(r[:] for r in asked.collect()), asked.schema), 5)
+    got = retrieval.search_index(spark, str(tmp_path / "s"), asked, 5)
+    assert [r[:] for r in got.orderBy("query_id", "rank").collect()] == [r[:] for r in want.orderBy("query_id", "rank").collect()]
+    with pytest.raises(Exception, match="exists"):
+        retrieval.build_index(docs, str(tmp_path / "i"))
+
+
+def test_retrieve_modes_and_gate(spark):
+    ranked = lambda rows: spark.createDataFrame([(1, d, r, s) for r, (d, s) in enumerate(rows, 1)], "query_id bigint, doc_id bigint, rank int, score double")
+    words, near = ranked([(10, 9.0), (11, 8.0), (12, 7.0)]), ranked([(12, 0.9), (13, 0.8), (10, 0.7)])
+    about = spark.createDataFrame([(10, "w", False), (11, "w", True), (12, "w", False), (13, "v", True)], "doc_id bigint, work string, flagged boolean")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [1.0, 1.0]), (13, [1.0, 0.01])], "doc_id bigint, embedding array<double>")
+    ids = lambda **how: [r.doc_id for r in retrieval.retrieve(words, near, about, 3, **how).orderBy("rank").collect()]
+    assert ids(mode="off") == [12, 10, 13] and ids(mode="r1", cap=1) == [12, 13] and ids(mode="r1", cap=2) == [12, 10, 13]
+    assert ids(mode="r1r2r3", cap=4, vectors=vectors, tau=0.95) == [12, 10, 11]
+    assert [r.doc_id for r in retrieval.retrieve(words, None, about, 2, mode="off").orderBy("rank").collect()] == [10, 11]
+    folded = {r.doc_id: list(r.folded) for r in retrieval.retrieve(words, near, about, 3, mode="r1", cap=1).collect()}
+    assert folded == {12: [10, 11], 13: []}
+    asked = spark.createDataFrame([(1,), (2,)], "query_id bigint")
+    gate = lambda **by: {r.query_id: r.abstain for r in retrieval.gated(asked, 0.95, **by).collect()}
+    assert gate(near=near, words=words) == {1: True, 2: True} and gate(words=words) == {1: False, 2: True}
+
+
 def test_bm25_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "byte pair"), (2, None), (3, "")], "doc_id bigint, text string")
     asked = spark.createDataFrame([(9, "Byte"), (8, None), (7, "")], "query_id bigint, text string")
@@ -113,7 +153,7 @@ def test_citations(spark):
         ("This sentence has no citation at all.", 2, "This sentence has no citation at all.", [], [], ["This sentence has no citation at all."]),
         ("", 0, "", [], [], []), (None, None, "", [], [], []),
         ("One fact here [7, 1]!\n\nAnother  fact [8] there [8]? Yes.", 2, "One fact here [1] [citation removed]!\n\nAnother  fact there [citation removed]? Yes.", [1], [7, 8, 8], []),
-        (f"{models.ABSTAIN}. Is this one then a question? Two words. [2]", 2, f"{models.ABSTAIN}. Is this one then a question? Two words [2].", [2], [], []),
+        (f"{models.ABSTAIN} Is this one then a question? Two words. [2]", 2, f"{models.ABSTAIN} Is this one then a question? Two words [2].", [2], [], []),
     ]
     frame = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(cases)], "i int, raw string, n int")
     got = frame.select("i", answers.citations(F.col("raw"), F.coalesce("n", F.lit(0))).alias("c")).orderBy("i").select("c.*").collect()
@@ -186,10 +226,10 @@ def test_verified_quotes(spark):
 
 
 def test_composed_answers(spark):
-    replies = spark.createDataFrame([(1, " Pairs merge often here [2]. ", 2), (2, f'"{models.ABSTAIN}."', 2)], "id int, raw string, n int")
+    replies = spark.createDataFrame([(1, " Pairs merge often here [2]. ", 2), (2, f'"{models.ABSTAIN}"', 2)], "id int, raw string, n int")
     sources = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (2, 1, "One")], "id int, n int, label string")
     got = {r.id: (r.text, r.abstained) for r in answers.composed(replies, sources).collect()}
-    assert got == {1: ("Pairs merge often here [2].\n\nSources:\n[2] Two", False), 2: (f'"{models.ABSTAIN}."', True)}
+    assert got == {1: ("Pairs merge often here [2].\n\nSources:\n[2] Two", False), 2: (f'"{models.ABSTAIN}"', True)}
 
 
 def test_metrics_and_failures(spark):

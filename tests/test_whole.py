@@ -17,7 +17,7 @@ def test_gold_of_whole_quotes(spark, tmp_path):
     docs = [(1, " ".join(["other", *quote[6:18]]), "s", "en"), (2, " ".join(quote[:8]), "s", "en"), (3, "say three short words", "s", "en"), (4, " ".join(quote[::2]), "s", "en"), (5, None, None, None)]
     items = [(1, 1, "question", "word1 word7"), (2, 1, "gold_quote", " ".join(quote)), (3, 2, "question", "short"), (4, 2, "gold_quote", "Three short words."), (5, 2, "gold_quote", "?")]
     d = write(spark, tmp_path, documents=(docs, "doc_id long, text string, source string, lang string"), eval_items=(items, "item_id long, question_id long, item_type string, text string"))
-    assert {(r.query_id, r.doc_id) for r in statistics_queries.gold(spark, d, whole=True).collect()} == {(1, 1), (1, 2), (3, 3)}
+    assert {(r.query_id, r.doc_id) for r in statistics_queries.gold(spark, d).collect()} == {(1, 1), (1, 2), (3, 3)}
 
 
 def test_pair_title_ratio_all(spark, tmp_path):
