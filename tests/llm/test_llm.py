@@ -105,7 +105,7 @@ def test_near_titles_beyond_hot_keys(spark):
     rng = random.Random(6)
     titles = sorted({f"on the study of common words in text {''.join(rng.choices('abcdefg', k=6))} and {w} tables" for w in ("many", "some") for _ in range(40)})
     want = {(a, b) for a, b in itertools.combinations(titles, 2) if title_ratio_of(a, b) >= 89}
-    got = {(r.title_a, r.title_b) for r in tokengroups.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), Scratch(spark), max_df=4).collect()}
+    got = {(r.title_a, r.title_b) for r in tokengroups.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), Scratch(spark), most=4).collect()}
     assert got == want and want
 
 
