@@ -384,3 +384,57 @@ def parser_comparison(spark, d):
     half = F.regexp_replace("text", r"(?m)^(\d+) ", "$1. ")
     both = D.parse_pages(D.parse_pages(docs, "text", D.parse_markdown).withColumnRenamed("parsed", "first").withColumn("other", half), "other", D.parse_markdown).withColumnRenamed("parsed", "second")
     return D.compared(both, "doc_id")
+
+
+@query("""SELECT least(record_a, record_b) AS low, greatest(record_a, record_b) AS high, count(*) AS n FROM dedup_candidates WHERE record_a IS NOT NULL AND record_b IS NOT NULL GROUP BY ALL""")
+def unordered_pairs(spark, d):
+    pairs = table(spark, d, "dedup_candidates").filter("record_a IS NOT NULL AND record_b IS NOT NULL")
+    return pairs.groupBy(F.least("record_a", "record_b").alias("low"), F.greatest("record_a", "record_b").alias("high")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT DISTINCT record_id FROM manifest_dedup), f AS (SELECT record_id FROM candidates_dedup WHERE year % 2 = 0)
+SELECT record_id, record_id IN (SELECT record_id FROM f WHERE record_id IS NOT NULL) AS found FROM s""")
+def found_and_missed(spark, d):
+    """Seeds that were found (semi join) and those that were missed (difference)."""
+    seeds = table(spark, d, "manifest_dedup").select("record_id").distinct()
+    found = table(spark, d, "candidates_dedup").filter("year % 2 = 0").select("record_id")
+    return seeds.join(found, "record_id", "left_semi").withColumn("found", F.lit(True)).unionByName(seeds.subtract(found).withColumn("found", F.lit(False)))
+
+
+@query("""WITH c AS (SELECT DISTINCT doc_id, chunk_id FROM chunks_toy WHERE doc_id NOT IN (SELECT doc_id FROM chunks_toy WHERE year % 10 = 5))
+SELECT doc_id, chunk_id, doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) - 1) AS number, count(*) OVER (PARTITION BY doc_id) AS n_chunks FROM c""")
+def chunk_numbers(spark, d):
+    """Chunks numbered in their documents, without the documents under the cap, and how many each has."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "chunks_toy")
+    kept = rows.select("doc_id", "chunk_id").distinct().join(rows.filter("year % 10 = 5").select("doc_id").distinct(), "doc_id", "left_anti")
+    counts = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id")) - 1  # a document's chunks are few
+    return kept.select("doc_id", "chunk_id", F.concat("doc_id", F.lit("#"), place).alias("number")).join(counts, "doc_id")
+
+
+@query()
+def document_chunker_abstract(spark, d):
+    """Documents with an abstract: it goes first."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", T.after_first_line(F.col("text")).alias("body"), T.first_line(F.col("text")).alias("abstract"))
+    return D.chunk_documents(D.parse_pages(docs, "body", D.parse_markdown)).select("doc_id", "chunk_no", "section", "kind", "n_tokens")
+
+
+@query()
+def title_classes_all(spark, d):
+    """One row for each record with a similar title, all titles of a record compared: its class and how many
+    other titles are similar to one of its own."""
+    scratch = Scratch(spark)
+    held = scratch.keep(table(spark, d, "candidates_dedup").select("record_id", T.norm_title(F.col("title")).alias("title")).filter("title <> ''").distinct())
+    words = F.filter(F.array_distinct(F.split("title", " ")), lambda w: w != "")
+    near = scratch.keep(identity.similar_titles(held.select("title").distinct().select(F.col("title").alias("id"), words.alias("words")), scratch))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    hubs = held.groupBy("title").agg(F.min("record_id").alias("hub"))
+    # every record hangs on the least record of its own and of all similar titles
+    same = held.join(hubs, "title").select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
+    other = held.join(both, F.col("title") == F.col("a")).join(hubs.withColumnRenamed("title", "t"), F.col("b") == F.col("t")).select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
+    edges = scratch.keep(same.unionByName(other).filter("a <> b").distinct())
+    classes = identity.components(edges.select(F.explode(F.array("a", "b")).alias("node")), edges, scratch)
+    links = held.join(both, F.col("title") == F.col("a"), "left").groupBy("record_id").agg(F.count_distinct("b").alias("links"))
+    return classes.join(links, F.col("node") == F.col("record_id")).select("record_id", F.col("component").alias("class_id"), "links")

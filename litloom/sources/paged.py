@@ -16,7 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 class PagedSource(DataSource):
     """Options: fetch (``module:function``), windows (comma-separated), cache (a shared folder, may be
-    empty), pause (seconds between pages), tries."""
+    empty), pause (seconds between pages), tries, back_off (seconds before the second try, doubled after
+    each).  An OSError with a number ``after`` waits so many seconds instead."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,7 +62,8 @@ class _Reader(DataSourceReader):
         for attempt in range(tries):
             try:
                 return fetch(window, page)
-            except OSError:
+            except OSError as e:
                 if attempt + 1 == tries:
                     raise
-                time.sleep(min(60, 2**attempt) * float(self.options.get("pause", 0)))
+                after = getattr(e, "after", None)  # what a busy host asks for
+                time.sleep(min(60.0, 2.0**attempt * float(self.options.get("back_off", 1))) if after is None else after)

@@ -60,6 +60,27 @@ def test_near_folding(spark):
     assert [(r.kept, r.under, r.reason) for r in got] == [(True, None, None), (False, 1, "also stated in"), (True, None, None), (False, 1, "more from this paper")]
 
 
+def test_paged_source(spark, tmp_path):
+    """Pages of every window, a failure tried again, and nothing fetched again from the cache."""
+    (tmp_path / "pagedfetch.py").write_text(
+        "import pathlib\nlog = pathlib.Path(__file__).with_name('asked')\n"
+        "class Busy(OSError):\n    after = 0.0\n"
+        "def fetch(window, page):\n"
+        "    with log.open('a') as f: f.write(f'{window}{page} ')\n"
+        "    if (window, page) == ('b', 0) and log.read_text().count('b0') == 1: raise Busy()\n"
+        "    if (window, page) == ('a', 1) and log.read_text().count('a1') == 1: raise OSError()\n"
+        "    return [{'n': f'{window}{page}'}] if page < 2 else []\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "pagedfetch.py"))
+    from litloom.sources import paged
+
+    spark.dataSource.register(paged.PagedSource)
+    read = lambda: spark.read.format("paged").option("fetch", "pagedfetch:fetch").option("windows", "a,b").option("cache", str(tmp_path / "cache")).option("back_off", "0.01").load()
+    want = [("a", 0, '{"n": "a0"}'), ("a", 1, '{"n": "a1"}'), ("b", 0, '{"n": "b0"}'), ("b", 1, '{"n": "b1"}')]
+    assert sorted(r[:] for r in read().collect()) == want and sorted(r[:] for r in read().collect()) == want
+    assert sorted((tmp_path / "cache").glob("*")) == [tmp_path / "cache/a.jsonl", tmp_path / "cache/b.jsonl"]
+
+
 def test_stems():
     known = "consign consigned consigning consignment consist consistency consistently consolation consolatory knackeries knightly knots relational hopping hoped happy sky news generously communism ties cries agreed plastered motoring falling skis by"
     want = "consign consign consign consign consist consist consist consol consolatori knackeri knight knot relat hop hope happi sky news generous communism tie cri agre plaster motor fall ski by"
