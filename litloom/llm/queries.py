@@ -94,6 +94,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), Scratch(spark))[1]
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture: its sources, what they have, and that no document exceeds its copies."""
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    report = mixture.mixture(documents, targets, Scratch(spark))[1]
+    within = (F.col("most_copies") <= F.greatest("max_repeats", F.lit(0))) & (F.col("tokens") <= F.col("available_tokens") * F.col("max_repeats"))
+    return report.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", F.col("available_documents").cast("bigint").alias("available_documents"), within.alias("within"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     records, _, _ = garbled.judge(table(spark, d, "documents"), Scratch(spark))
     return records.select("doc_id").distinct()

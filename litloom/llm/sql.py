@@ -109,5 +109,13 @@ SELECT DISTINCT doc_id, item_id FROM there JOIN wanted USING (n, passage)
 """
 
 
+P7_LIMITS = r"""
+WITH d AS (SELECT doc_id, min(coalesce(nullif(regexp_replace(lower(trim(source)), '[-\s]+', '_', 'g'), ''), '(none)')) AS source FROM documents WHERE length(text) > 0 GROUP BY doc_id),
+n AS (SELECT source, count(*) AS k FROM d GROUP BY source),
+t AS (SELECT source, sum(target_share) AS s, min(max_repeats) AS r FROM mix_targets GROUP BY source)
+SELECT source, coalesce(round(s, 6), 0.0) AS target_share, coalesce(r, 0) AS max_repeats, coalesce(k, 0) AS available_documents, true AS within FROM n FULL JOIN t USING (source)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name.lower(): text for name, text in globals().items() if name[:1] == "P" and name[1:2].isdigit()}
