@@ -180,7 +180,7 @@ def _report(classes: DataFrame, goals: DataFrame, sample: DataFrame, total_token
         there.join(goals, "source", "full").join(got, "source", "left")
         .select(
             "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),
-            F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+            F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("available_documents", F.lit(0)).alias("available_documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
             F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
             F.greatest(F.lit(0), F.round(F.coalesce("target_tokens", F.lit(0.0)) - F.coalesce("tokens", F.lit(0))).cast("bigint")).alias("shortfall"),
         )
