@@ -126,6 +126,19 @@ def test_near_titles_without_shared_keys(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_near_titles_meet_without_a_shuffle(spark, monkeypatch):
+    """Pairs of blocks are met by a product that writes nothing: their number is the square of the blocks'."""
+    monkeypatch.setattr(tokengroups, "BLOCK", 8)
+    monkeypatch.setattr(tokengroups, "PART", 2, raising=False)
+    rng = random.Random(21)
+    titles = sorted({f"{w} of {''.join(rng.choices('abc', k=9))} in tables" for w in ("routing", "tagging") for _ in range(60)})
+    want = {(a, b) for a, b in itertools.combinations(titles, 2) if title_ratio_of(a, b) >= 89}
+    found = tokengroups.near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), Scratch(spark))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [r[:2] for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+
+
 def test_near_records_edges(spark):
     schema = "record_a string, title_a string, record_b string, title_b string, abstract_cosine double, body_ratio double, id bigint"
     t = "Byte pair encoding for everyone"
