@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import unicodedata
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,6 +231,23 @@ def test_short_forms_are_learned(spark):
     assert got["Yoy Sorunaki"] == got["Yorrick Sorunaki"] and got["Yoy Gorilate"] != got["Yorrick Gorilate"] and got["Hugo Zenimaro"] != got["Ivan Zenimaro"]
 
 
+def test_rounds_leave_little_behind(spark, monkeypatch):
+    """No written plan has very many exchanges, which the driver would keep anew after each stage, and the
+    tables of past rounds are gone."""
+    keep, sizes, kept = Scratch.keep, [], []
+
+    def counted(self, frame):
+        sizes.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        kept.append(keep(self, frame))
+        return kept[-1]
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    got = profiles_of(spark, [("Tobias Berganov; Tobais Berganov; Tobias Bergaonv", "Tobais Begranov; T. Berganov; Anna Pelimoto", "")])
+    assert len(set(got.values())) == 2
+    there = lambda frame: Path(frame.inputFiles()[0].removeprefix("file://")).exists() if frame.inputFiles() else False
+    assert len(kept) > 20 and sum(map(there, kept)) <= 6 and max(sizes) <= 16, (len(kept), sum(map(there, kept)), sizes)
+
+
 def test_richer_profiles_rematch(spark):
     """Each spelling is one error from the next; only the union of names joins Tobais Berganov and Tobias
     Bergaonv, and only then does T. Berganov fit one profile."""
