@@ -231,6 +231,35 @@ def test_short_forms_are_learned(spark):
     assert got["Yoy Sorunaki"] == got["Yorrick Sorunaki"] and got["Yoy Gorilate"] != got["Yorrick Gorilate"] and got["Hugo Zenimaro"] != got["Ivan Zenimaro"]
 
 
+def test_companions_in_large_families(spark):
+    """Two names that stand together only in families of more than FEW names, among small and very large
+    families; all are as counted over every family."""
+    rng = random.Random(22)
+    others = [f"n{a}{b}{c}" for a in "abcdefgh" for b in "ijklm" for c in "opqrst"]
+    families = {f"f{i}": {*rng.sample(others, 13)} for i in range(90)} | {f"s{i}": {*rng.sample(others, rng.randint(1, 4))} for i in range(60)} | {f"h{i}": {*others, "xix", "xaverian"} for i in range(2)}
+    for i in range(8):
+        families[f"f{i}"] |= {"xix", "xaverian"}
+    for i in range(5):
+        families[f"s{i}"] |= {"yoy", "yorrick"}
+        families[f"f{9 * i + 8}"] |= {"zoz", "zorander"} if i < 3 else {"zoz"}  # too little weight
+    sizes = {f: len(g) for f, g in families.items()}
+    weight = {f: 1 / max(1, k - 1) for f, k in sizes.items()}
+    places, several = sum(sizes.values()), sum(k for k in sizes.values() if k > 1)
+    of = {}
+    for f, g in families.items():
+        for x in g:
+            of.setdefault(x, set()).add(f)
+    want = set()
+    for a, b in itertools.combinations(sorted(of, key=lambda x: (len(x), x)), 2):
+        both = sum(weight[f] for f in of[a] & of[b])
+        mine = min(sum(weight[f] for f in of[x]) for x in (a, b))
+        if len(of[a] & of[b]) >= names.SEEN and both >= names.SEEN / (names.FEW - 1) and both >= names.SHARE * mine and both * places**2 >= names.LIFT * len(of[a]) * len(of[b]) * several:
+            want.add((a, b))
+    said = spark.createDataFrame([(f, x) for f, g in families.items() for x in g] * 2, "family string, given string")
+    got = [r[:] for r in names.learned_forms(spark.createDataFrame([], "row bigint, n int, name_a string, name_b string"), said.withColumn("name", F.lit("")), Scratch(spark)).select("short", "long").collect()]
+    assert set(got) == want and len(got) == len(want) and ("xix", "xaverian") in want and ("yoy", "yorrick") in want and ("zoz", "zorander") not in want
+
+
 def test_rounds_leave_little_behind(spark, monkeypatch):
     """No written plan has very many exchanges, which the driver would keep anew after each stage, and the
     tables of past rounds are gone."""
