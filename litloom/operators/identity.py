@@ -116,23 +116,56 @@ def best_rule(swept: DataFrame) -> DataFrame:
     return swept.filter("precision = 1.0").agg(top).filter("top IS NOT NULL").select("top.*")
 
 
+def _chosen(words: str, k: int) -> Column:
+    """The hashes of all choices of k words, three at most, of an array, in its order."""
+    n, at = f"size({words})", [f"{words}[i{j} - 1]" for j in range(k)]
+    every = f"xxhash64({', '.join(at)})"
+    for j in reversed(range(k)):
+        every = f"transform(sequence({f'i{j - 1} + 1' if j else '1'}, {n} - {k - 1 - j}), i{j} -> {every})"
+        every = f"flatten({every})" if j < k - 1 else every
+    return F.expr(f"CASE WHEN {n} >= {k} THEN {every} ELSE CAST(array() AS array<bigint>) END")
+
+
 def similar_titles(titles: DataFrame, scratch: Scratch, least: float = 0.6) -> DataFrame:
     """titles: id, words (distinct) -> a, b of all pairs with word Jaccard >= least, exactly.
 
-    Prefix filtering: two sets that similar share one of the rarest words of either, so only the
-    first len - ceil(least * len) + 1 words in the order of rarity are joined on, and sizes must fit.
-    """
-    sets = scratch.keep(titles.filter(F.size("words") > 0))
-    df = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = sets.select("id", F.explode("words").alias("w")).join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+    Prefix filtering by choices of words: two sets that similar share 2 least / (1 + least) of the words
+    of the shorter or more, and least of those of the longer.  So the first k words that they share, in the
+    order of rarity, stand among the first len - shared + k words of either, and both have the key of
+    these k words: three, fewer where a short title need not share three, or a very long one has too many
+    choices.  A pair is compared where it meets and counts only at that key, so candidates are neither
+    written nor met twice.  Words of a single title make no key, and keys without a partner are left out."""
+    eps, most = 1e-9, 3
+    sets = scratch.keep(titles.filter(F.size("words") > 0).select("id", "words", F.monotonically_increasing_id().alias("no")))
+    said = sets.select("no", F.explode("words").alias("w"))
+    rarity = said.groupBy("w").agg(F.count(F.lit(1)).alias("df")).orderBy("df", "w")
+    order = scratch.keep(rarity.select("w", "df", F.monotonically_increasing_id().alias("k")))
+    ranked = said.join(order, "w").groupBy("no").agg(F.array_sort(F.collect_list("k")).alias("r"), F.count_if(F.col("df") == 1).cast("int").alias("lone"))
+    ranked = scratch.keep(ranked)
     n = F.size("r")
-    prefix = ranked.select("id", n.alias("n"), F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * least) + 1).cast("int"))).alias("p")).select("id", "n", "p.w")
-    prefix = scratch.keep(prefix)
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = left.join(right, "w").filter(fits).select("a", "b").distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    return pairs.join(x, "a").join(y, "b").filter(F.size(F.array_intersect("x", "y")) >= F.size(F.array_union("x", "y")) * least).select("a", "b")
+    must = lambda size: F.ceil(size * (2 * least / (1 + least)) - eps)
+    run = lambda size: F.least(must(size), F.when(size <= 30, most).when(size <= 100, 2).otherwise(1))
+    reach = F.transform(F.sequence(F.ceil(n * least - eps), n.cast("bigint")), run)  # the k of all that are shorter
+
+    def keys(share: Column, k_least: Column, k_most: Column) -> DataFrame:
+        prefix = lambda k: F.slice("r", F.col("lone") + 1, F.greatest(F.lit(0), (n - share + k).cast("int") - F.col("lone")))
+        held = ranked.select("no", *[F.when(F.lit(k).between(k_least, k_most), prefix(k)).otherwise(F.array().cast("array<bigint>")).alias(f"p{k}") for k in range(1, most + 1)])
+        return held.select("no", F.explode(F.concat(*[_chosen(f"p{k}", k) for k in range(1, most + 1)])).alias("key"))
+
+    short = keys(must(n), run(n), run(n)).withColumn("short", F.lit(True))
+    every = scratch.keep(short.unionByName(keys(F.ceil(n * least - eps), F.array_min(reach), F.array_max(reach)).withColumn("short", F.lit(False))))
+    met = every.groupBy("key").agg(F.count_if("short").alias("s"), F.count_if(~F.col("short")).alias("l")).filter("s > 0 AND l > 1")
+    live = scratch.keep(every.join(met.select("key"), "key", "left_semi"))
+    scratch.drop(every)
+    side = lambda kind, k: live.filter(kind).join(ranked.select("no", "r"), "no").select("key", F.col("no").alias(f"n{k}"), F.col("r").alias(k))
+    both, nx, ny = F.array_intersect("x", "y"), F.size("x"), F.size("y")
+    shared = F.size(both)
+    first = lambda k: F.xxhash64(*[F.get(both, F.lit(i)) for i in range(k)])
+    here = F.col("key") == F.when(run(nx) == 1, first(1)).when(run(nx) == 2, first(2)).otherwise(first(most))
+    fits = ((nx < ny) | ((nx == ny) & (F.col("nx") < F.col("ny")))) & (nx >= ny * least - eps)
+    found = side("short", "x").join(side("NOT short", "y"), "key").filter(fits & (shared >= (nx + ny - shared) * least) & here).select("nx", "ny")
+    x, y = (sets.select(F.col("no").alias(f"n{k}"), F.col("id").alias(k)) for k in "xy")
+    return found.join(x, "nx").join(y, "ny").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def work_groups(records: DataFrame, merged: DataFrame, scratch: Scratch) -> DataFrame:

@@ -426,15 +426,18 @@ def title_classes_all(spark, d):
     """One row for each record with a similar title, all titles of a record compared: its class and how many
     other titles are similar to one of its own."""
     scratch = Scratch(spark)
-    held = scratch.keep(table(spark, d, "candidates_dedup").select("record_id", T.norm_title(F.col("title")).alias("title")).filter("title <> ''").distinct())
+    named = scratch.keep(table(spark, d, "candidates_dedup").select("record_id", T.norm_title(F.col("title")).alias("title")).filter("title <> ''").distinct())
+    titles = scratch.keep(named.select("title").distinct().withColumn("no", F.monotonically_increasing_id()))
+    held = scratch.keep(named.join(titles, "title").select("record_id", "no"))
     words = F.filter(F.array_distinct(F.split("title", " ")), lambda w: w != "")
-    near = scratch.keep(identity.similar_titles(held.select("title").distinct().select(F.col("title").alias("id"), words.alias("words")), scratch))
+    near = scratch.keep(identity.similar_titles(titles.select(F.col("no").alias("id"), words.alias("words")), scratch))
+    scratch.clear(held, near)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = held.groupBy("title").agg(F.min("record_id").alias("hub"))
+    hubs = held.groupBy("no").agg(F.min("record_id").alias("hub"))
     # every record hangs on the least record of its own and of all similar titles
-    same = held.join(hubs, "title").select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
-    other = held.join(both, F.col("title") == F.col("a")).join(hubs.withColumnRenamed("title", "t"), F.col("b") == F.col("t")).select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
+    same = held.join(hubs, "no").select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
+    other = held.join(both, F.col("no") == F.col("a")).select("record_id", "b").join(hubs, F.col("b") == F.col("no")).select(F.col("record_id").alias("a"), F.col("hub").alias("b"))
     edges = scratch.keep(same.unionByName(other).filter("a <> b").distinct())
     classes = identity.components(edges.select(F.explode(F.array("a", "b")).alias("node")), edges, scratch)
-    links = held.join(both, F.col("title") == F.col("a"), "left").groupBy("record_id").agg(F.count_distinct("b").alias("links"))
+    links = held.join(both, F.col("no") == F.col("a"), "left").groupBy("record_id").agg(F.count_distinct("b").alias("links"))
     return classes.join(links, F.col("node") == F.col("record_id")).select("record_id", F.col("component").alias("class_id"), "links")

@@ -157,6 +157,22 @@ def test_similar_titles_match_brute_force(spark):
     assert {(r.a, r.b) for r in identity.similar_titles(frame, Scratch(spark)).collect()} == want
 
 
+def test_similar_titles_of_common_words(spark):
+    """Titles of one pattern share common words throughout: few pairs may meet, however many titles there are."""
+    rng = random.Random(5)
+    parts = [[f"{p}{i}" for i in range(30)] for p in "abcdefgh"]
+    sets = {i: ["on", "for", "in", "of", *map(rng.choice, parts), f"x{i}", f"y{i // 2}"] for i in range(1500)}
+    sets |= {2000 + i: [*sets[i][:-2], f"z{i}"] for i in range(0, 300, 3)} | {3000: ["on"], 3001: ["on"], 3002: ["on", "for"], 3003: [f"w{i}" for i in range(40)], 3004: [f"w{i}" for i in range(9, 40)], 3005: [f"v{i}" for i in range(150)], 3006: [f"v{i}" for i in range(60, 151)]}
+    held = {k: set(v) for k, v in sets.items()}
+    want = {(a, b) for a in held for b in held if a < b and len(held[a] & held[b]) >= 0.6 * len(held[a] | held[b])}
+    found = identity.similar_titles(spark.createDataFrame(list(sets.items()), "id int, words array<string>"), Scratch(spark))
+    got = [(r.a, r.b) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan()
+    joins = [line for line in plan.toString().splitlines() if "Join" in line and "key" in line]
+    assert any("array_intersect" in line for line in joins)  # compared where they meet: no candidates are written
+
+
 def test_decide_and_agreement(spark):
     rows = spark.createDataFrame([(95.0, 0.6, None, None), (95.0, 0.6, 0.9, 0.5), (95.0, 0.6, 0.8, None), (91.0, 0.9, None, None), (None, 0.9, None, None)], "t double, a double, c double, b double")
     got = [r.d for r in rows.select(identity.decide(F.col("t"), F.col("a"), F.col("c"), F.col("b")).alias("d")).collect()]
