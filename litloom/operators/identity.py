@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, sqrt
 from zlib import crc32
 
 import numpy as np
@@ -190,57 +192,167 @@ def pair_features(pairs: DataFrame, records: DataFrame, vectors: DataFrame) -> D
     )
 
 
-_TITLE_BLOCK, _LETTERS, _WORDS = 1024, "abcdefghijklmnopqrstuvwxyz0123456789 ", 512
+#: Letters whose order is compared before a pair is scored, and those that are only counted.
+_ORDERED, _COUNTED = "dghlmnrst", "abcefijkopquvwxyz0123456789 "
+_TITLE_BLOCK, _WORDS, _PAIRS, _ALL = 1024, 512, 8192, np.uint64(2**64 - 1)
 
 
 class _Titles:
-    """A block of titles as counts of letters and of hashed words, weighed by their length."""
+    """A block of titles, each its distinct words in order: counts of letters and of hashed words, weighed by
+    their length, and the ordered letters of each as codes and as bits."""
 
     def __init__(self, titles: list[str]):
+        self.titles, n = titles, len(titles)
         self.size = np.array([len(t) for t in titles], np.float32)
-        self.letters = np.array([[t.count(ch) for ch in _LETTERS] for t in titles], np.float32).reshape(len(titles), -1)
-        self.words = np.zeros((len(titles), _WORDS), np.float32)
-        self.held = np.zeros((len(titles), _WORDS), np.float32)
-        for i, title in enumerate(titles):
-            for word in set(title.split()):
+        text = np.frombuffer("\n".join(titles).encode(), np.uint8)
+        code = np.full(256, -1)
+        code[list((_ORDERED + _COUNTED).encode())] = np.arange(len(_ORDERED + _COUNTED))
+        title = np.cumsum(text == ord("\n"))[text != ord("\n")]
+        letter = code[text[text != ord("\n")]]
+        kind = np.uint16 if self.size.max() < 60_000 else np.uint32
+        self.letters = np.bincount(letter * n + title, minlength=len(_ORDERED + _COUNTED) * n).reshape(-1, n).astype(kind)
+        title, letter = title[letter < len(_ORDERED)], letter[letter < len(_ORDERED)]
+        held = np.bincount(title, minlength=n)
+        place = np.arange(len(title)) - np.repeat(np.cumsum(held) - held, held)
+        self.wide = max(1, -(-int(held.max()) // 64))
+        #: One column a title; one code more than there are letters, for nothing.
+        self.codes = np.full((held.max(), n), len(_ORDERED), np.uint8)
+        self.codes[place, title] = letter
+        self.bits = np.zeros((self.wide, n, len(_ORDERED) + 1), np.uint64)
+        np.bitwise_or.at(self.bits, (place // 64, title, letter), np.uint64(1) << (place % 64).astype(np.uint64))
+        self.weighed = np.zeros((n, _WORDS), np.float32)
+        self.held = np.zeros((n, _WORDS), np.float32)
+        self.ordered: dict[str, int] = {}  # ordered letters of a word
+        self.words: list[list[tuple[str, int]]] = []  # with the place of the first ordered letter
+        self._who: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(titles):
+            words, j = [], 0
+            for word in t.split(" "):
                 k = crc32(word.encode()) % _WORDS
-                self.words[i, k] += len(word) + 1
+                self.weighed[i, k] += len(word) + 1
                 self.held[i, k] = 1
-
-    def bound(self, other: _Titles) -> np.ndarray:
-        """No token set ratio is higher: the letters that two titles share bound their common subsequence,
-        the words that they share the ratio of the shared part."""
-        common = sum(np.minimum.outer(a, b) for a, b in zip(self.letters.T, other.letters.T))
-        whole = 200 * common / np.maximum(self.size[:, None] + other.size[None, :], 1)
-        shared = np.minimum(self.words @ other.held.T, self.size[:, None] + 1)
+                if (m := self.ordered.get(word)) is None:
+                    m = self.ordered[word] = sum(map(word.count, _ORDERED))
+                words.append((word, j))
+                self._who.setdefault(word, []).append((i, j))
+                j += m
+            self.words.append(words)
+        self._at: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """The titles with a word, and the places of its ordered letters in ``codes``, as one row."""
+        if word not in self._at:
+            who, first = np.array(self._who.get(word, ()), np.int64).reshape(-1, 2).T
+            self._at[word] = who, ((first + np.arange(self.ordered.get(word, 0))[:, None]) * len(self.titles) + who).ravel()
+        return self._at[word]
+
+    def bounds(self, other: _Titles, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words that two titles share may alone give the ratio; where the letters that they share,
+        which bound their common subsequence, allow it; and how many of the ordered letters must then be in order."""
+        kind = np.promote_types(self.letters.dtype, other.letters.dtype)
+        common, one = np.zeros((len(self.titles), len(other.titles)), kind), np.empty((len(self.titles), len(other.titles)), kind)
+        need = least / 200 * (self.size[:, None] + other.size[None, :]) - 1e-2
+        for k in reversed(range(len(self.letters))):
+            if k == len(_ORDERED) - 1:
+                ordered = need - common
+            if self.letters[k].any() and other.letters[k].any():
+                common += np.minimum.outer(self.letters[k], other.letters[k], out=one)
+        shared = np.minimum(self.weighed @ other.held.T, self.size[:, None] + 1)
         small = np.minimum(self.size[:, None], other.size[None, :])
-        return np.maximum(whole, 200 * shared / np.maximum(shared + small, 1))
+        return 200 * shared >= (least - 1e-2) * (shared + small), common >= need, ordered
+
+
+def _in_order(x: _Titles, i: np.ndarray, keep: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of titles i of x, at the letters whose bits are kept, with the
+    columns of codes: one bit a letter of x, one addition a letter of the other, all pairs at once."""
+    wide, base = len(keep), i * (len(_ORDERED) + 1)
+    bits = x.bits.reshape(wide, -1)
+    free = [np.full(len(i), _ALL) for _ in range(wide)]
+    at, hit, total = np.empty(len(i), np.int64), np.empty(len(i), np.uint64), np.empty(len(i), np.uint64)
+    for row in codes:
+        np.add(base, row, out=at)
+        carry = None
+        for w in range(wide):
+            np.take(bits[w], at, out=hit, mode="clip")
+            hit &= keep[w]
+            hit &= free[w]
+            np.add(free[w], hit, out=total)
+            over = total < hit if w + 1 < wide else None
+            if carry is not None:
+                total += carry
+                if over is not None:
+                    over |= total < carry
+            free[w] -= hit
+            free[w] |= total
+            carry = over
+    return sum(np.bitwise_count(~f).astype(np.int64) for f in free)
+
+
+def _near_titles(x: _Titles, y: _Titles, least: float, same: bool) -> Iterator[tuple[int, int]]:
+    """Places of the pairs, each once, that the exact bounds leave to be scored.
+
+    The words that two titles share lead both, so their common subsequence has these and that of the other
+    words, which is at most that of their ordered letters and the number of those only counted."""
+    shared, open_, need = x.bounds(y, least)
+    if same:
+        shared, open_ = np.triu(shared, 1), np.triu(open_, 1)
+    yield from zip(*(k.tolist() for k in np.nonzero(shared)))
+    open_ &= ~shared
+    held: list[tuple[np.ndarray, ...]] = []
+    for i in range(len(x.titles)):
+        j = np.flatnonzero(open_[i])
+        if len(j):
+            keep, codes, led = np.full((x.wide, len(y.titles)), _ALL), y.codes.copy(), np.zeros(len(y.titles), np.int64)
+            for word, first in x.words[i]:
+                if (m := y.ordered.get(word)):
+                    who, where = y.at(word)
+                    codes.reshape(-1)[where] = len(_ORDERED)
+                    led[who] += m
+                    mask = (1 << first + m) - (1 << first)
+                    for w in range(x.wide):
+                        keep[w, who] &= np.uint64(~(mask >> 64 * w) & (2**64 - 1))
+            held.append((np.full(len(j), i), j, keep[:, j], codes[:, j], need[i, j] - led[j]))
+        if held and (i + 1 == len(x.titles) or sum(len(h[1]) for h in held) >= _PAIRS):
+            i_, j_, keep, codes, left = (np.concatenate(h, axis=-1) for h in zip(*held))
+            fits = np.flatnonzero(_in_order(x, i_, keep, codes) >= left)
+            yield from zip(i_[fits].tolist(), j_[fits].tolist())
+            held = []
 
 
 def near_title_pairs(records: DataFrame, scratch: Scratch, least: float = 80.0, gap: int = 2) -> DataFrame:
     """records: id, title, year, group -> a < b, score: all pairs of different groups with a token set ratio
     of ``least`` or more and years at most ``gap`` apart (a missing year is year 0).
 
-    Titles of one year stand in blocks of about 1,024; blocks of years in reach meet, and a bound on the
-    ratio, exact, leaves few pairs to be scored.  NULL and wordless titles match nothing."""
+    Titles of one year with the same words are compared once.  They stand in blocks of about 1,024; blocks of
+    years in reach meet by a product without a shuffle, and bounds on the ratio, exact, leave few pairs to be
+    scored.  NULL and wordless titles match nothing."""
     ship(records.sparkSession)
-    schema = "a string, b string, score double"
-    rows = records.select(F.col("id").cast("string").alias("id"), T.norm_title(F.col("title")).alias("title"), F.coalesce("year", F.lit(0)).alias("year"), F.col("group").cast("string").alias("group")).filter("title <> ''")
-    sizes = rows.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / _TITLE_BLOCK).cast("int").alias("k"))
-    placed = rows.join(sizes, "year").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    packed = scratch.keep(placed.groupBy("year", "block").agg(F.collect_list(F.struct("id", "title", "group")).alias("rows")))
-    near = packed.select(F.col("year").alias("y"), F.col("block").alias("k"), F.col("rows").alias("others"), F.explode(F.sequence(F.col("year") - gap, F.col("year"))).alias("year"))
-    met = near.join(packed, "year").filter("year < y OR block <= k")
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(T.norm_title(F.col("title")), " "))), " ")
+    rows = scratch.keep(records.select(F.col("id").cast("string").alias("id"), words.alias("words"), F.coalesce("year", F.lit(0)).cast("bigint").alias("year"), F.col("group").cast("string").alias("group")).filter("words <> ''"))
+    titles = scratch.keep(rows.groupBy("year", "words").agg(F.count(F.lit(1)).alias("n")))
+    sizes = titles.groupBy("year").agg(F.ceil(F.count(F.lit(1)) / _TITLE_BLOCK).cast("int").alias("k"))
+    placed = titles.join(sizes, "year").withColumn("block", F.pmod(F.xxhash64("words"), F.col("k")).cast("int"))
+    packed, n = scratch.keep_counted(placed.groupBy("year", "block").agg(F.array_join(F.array_sort(F.collect_list("words")), "\n").alias("titles")))
+    # parts of few blocks, some products of two for each core
+    parts = max(1, min(n, max(-(-n // 128), ceil(sqrt(8 * records.sparkSession.sparkContext.defaultParallelism)))))
+    blocks = packed.repartition(parts, "year", "block")
+    left = blocks.select(*[F.col(c).alias(f"{c}_x") for c in blocks.columns])
+    apart = F.col("year") - F.col("year_x")
+    met = left.hint("shuffle_replicate_nl").join(blocks, apart.between(0, gap) & ((apart > 0) | (F.col("block_x") <= F.col("block"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = lru_cache(16)(lambda titles: _Titles(titles.split("\n")))
         for batch in batches:
-            out = []
-            for left, right, same in zip(batch["others"], batch["rows"], (batch["y"] == batch["year"]) & (batch["k"] == batch["block"])):
-                x, y = _Titles([r["title"] for r in left]), _Titles([r["title"] for r in right])
-                for i, j in zip(*np.nonzero(x.bound(y) >= least - 1e-3)):
-                    p, q = left[i], right[j]
-                    if p["group"] != q["group"] and (not same or p["id"] < q["id"]) and (score := fuzzy.token_set_ratio(p["title"], q["title"])) >= least:
-                        out.append((*sorted((p["id"], q["id"])), score))
-            yield pd.DataFrame(out, columns=["a", "b", "score"])
-
-    return met.repartition(records.sparkSession.sparkContext.defaultParallelism, "y", "k", "year", "block").mapInPandas(run, schema)
+            for year_x, block_x, titles_x, year, block, titles in zip(*(batch[c] for c in ("year_x", "block_x", "titles_x", "year", "block", "titles"))):
+                x, y = built(titles_x), built(titles)
+                found = [(x.titles[i], y.titles[j]) for i, j in _near_titles(x, y, least, year_x == year and block_x == block)]
+                scored = [(p, q, score) for p, q in found if (score := fuzzy.token_set_ratio(p, q)) >= least]
+                yield pd.DataFrame(scored, columns=["words_x", "words_y", "score"]).assign(year_x=year_x, year_y=year)
+
+    near = met.mapInPandas(run, "words_x string, words_y string, score double, year_x bigint, year_y bigint")
+    alike = titles.filter("n > 1").select(F.col("words").alias("words_x"), F.col("words").alias("words_y"), F.lit(100.0).alias("score"), F.col("year").alias("year_x"), F.col("year").alias("year_y"))
+    links = scratch.keep(near.unionByName(alike))
+    x, y = (rows.select(*[F.col(c).alias(f"{c}_{k}") for c in rows.columns]) for k in "xy")
+    once = (F.col("words_x") != F.col("words_y")) | (F.col("year_x") != F.col("year_y")) | (F.col("id_x") < F.col("id_y"))
+    pairs = links.join(x, ["words_x", "year_x"]).join(y, ["words_y", "year_y"]).filter(once & ~F.col("group_x").eqNullSafe(F.col("group_y")))
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), "score")

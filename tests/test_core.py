@@ -387,6 +387,29 @@ def test_near_title_pairs_match_brute_force(spark):
     assert identity.near_title_pairs(frame.limit(0), Scratch(spark)).count() == 0
 
 
+def test_near_title_bounds_leave_few_pairs():
+    """Titles of one pattern have the same letters in another order: hardly any is scored, and none that is near is lost."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice(["s", "sh", "ch", "t", "r", "l", "m", "n"]) + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    for long in (8, 30):  # one and several machine words of ordered letters
+        stock = [[word() for _ in range(20)] for _ in range(long)]
+        made = [["for", "in", "of", *map(rng.choice, stock)] for _ in range(150)]
+        made += [[w[1:] if rng.random() < 0.3 else w for w in t] for t in made[:50]]
+        titles = [" ".join(sorted(set(t))) for t in made]
+        x, y = identity._Titles(titles[:120]), identity._Titles(titles[80:])
+        want = {(i, j) for i, p in enumerate(x.titles) for j, q in enumerate(y.titles) if fuzzy.token_set_ratio(p, q) >= 80}
+        got = list(identity._near_titles(x, y, 80.0, False))
+        assert len(want) >= 40 and want <= set(got) and len(got) == len(set(got)) < x.bounds(y, 80.0)[1].sum() / 4  # of what counted letters leave
+
+
+def test_near_title_pairs_of_equal_titles(spark):
+    """Copies of a title meet each other and all near titles, in reach of their years, whatever their group's value."""
+    rows = [("a", "Byte pair coding", 2003, "g"), ("b", "byte pair coding!", 2003, None), ("c", "Byte pair coding", 2003, "g"), ("d", "coding byte pair", 2005, "h"), ("e", "Byte pair codings", 2006, "g"), ("f", "Byte pair coding", 2009, "x"), ("g", "b", 2005, "y")]
+    frame = spark.createDataFrame(rows, "id string, title string, year int, group string")
+    got = sorted((r.a, r.b) for r in identity.near_title_pairs(frame, Scratch(spark)).collect())
+    assert got == [("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d"), ("d", "e")]
+
+
 def test_pair_features_and_flags(spark):
     records = spark.createDataFrame([("a", "Byte pairs", "A Lee; B Roy", 100), ("b", "Byte  pairs!", "C Lee", 50), ("c", None, None, 0)], "record_id string, title string, authors string, body_words int")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8])], "record_id string, embedding array<double>")
